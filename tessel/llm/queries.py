@@ -77,7 +77,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS (
   SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) = 1 THEN w
-    ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END) AS g FROM w),
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT u, v FROM pairs JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
@@ -98,14 +98,14 @@ m AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
 c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM (SELECT h.doc_id, h.i FROM h JOIN m ON m.h = h.h WHERE m.first < h.doc_id)),
 gone AS (SELECT doc_id, list(k) AS ks FROM c GROUP BY doc_id)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(g.ks), 0)::BIGINT AS n_removed,
-  sha256(coalesce(array_to_string(CASE WHEN g.ks IS NULL THEN w.w ELSE list_transform(list_filter(range(1, len(w.w) + 1), k -> NOT list_contains(g.ks, k)), k -> w.w[k]) END, ' '), '')) AS kept_sha256
+  sha256(coalesce(array_to_string(CASE WHEN g.ks IS NULL THEN w.w ELSE list_transform(list_filter(range(1, len(w.w) + 1), lambda k: NOT list_contains(g.ks, k)), lambda k: w.w[k]) END, ' '), '')) AS kept_sha256
 FROM w LEFT JOIN gone g ON g.doc_id = w.doc_id
 """
 
 _OP7 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 z AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
 links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM z a JOIN z b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
@@ -122,7 +122,7 @@ c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS
 p AS (SELECT DISTINCT s[1:k] AS s FROM (SELECT s, unnest(range(1, len(s))) AS k FROM c)),
 f AS (SELECT min(conv_id) AS conv_id, s FROM c WHERE s NOT IN (SELECT s FROM p) GROUP BY s)
 SELECT conv_id, len(s)::BIGINT AS n_turns,
-  array_to_string(list_transform(s, x -> '<|' || coalesce(x.r, '') || '|>' || chr(10) || coalesce(x.t, '') || '<|end|>' || chr(10)), '') AS chat
+  array_to_string(list_transform(s, lambda x: '<|' || coalesce(x.r, '') || '|>' || chr(10) || coalesce(x.t, '') || '<|end|>' || chr(10)), '') AS chat
 FROM f
 """
 
