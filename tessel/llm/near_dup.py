@@ -87,7 +87,17 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values))
 
 
-_SIG = "id long, n long, s1 long, s2 long, a array<long>, b array<int>"
+_SIG = "id long, n long, s1 long, s2 long, a array<long>, b array<int>, parity array<long>"
+#: Bits of the parity sketch: bit k says whether an odd number of a set's hashes fall on k. Sets A and B differ in at
+#: least as many members as their sketches differ in bits, so pairs that differ in too many can't be similar enough.
+_PARITY = 512
+
+
+def _parity(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    key = owner * _PARITY + (hashes & np.uint64(_PARITY - 1)).astype(np.int64)
+    odd = np.bincount(key, minlength=(len(first) - 1) * _PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _signatures(p: NearDupParams):
@@ -114,8 +124,9 @@ def _signatures(p: NearDupParams):
                         pa.array(sums[1].view(np.int64)),
                         _lists(a.reshape(-1).view(np.int64), of * p.a),
                         _lists((b.reshape(-1) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), of * p.b),
+                        _lists(_parity(hashes, first), np.arange(len(texts) + 1) * (_PARITY // 64)),
                     ],
-                    names=["id", "n", "s1", "s2", "a", "b"],
+                    names=["id", "n", "s1", "s2", "a", "b", "parity"],
                 )
 
     return run
@@ -136,8 +147,9 @@ def _same_key(*keys: str) -> Window:
 
 
 def _members(reps: DataFrame, p: NearDupParams) -> DataFrame:
-    """(bucket, id, n, center) for each table key that at least two documents have; center is the smallest there."""
-    half = reps.select("id", "n", "b", F.explode("a").alias("ka"))
+    """(bucket, place, id, n, center) for each table key that at least two documents have; center is the smallest there,
+    place = i * |B| + j tells the table (i, j)."""
+    half = reps.select("id", "n", "b", F.posexplode("a").alias("i", "ka"))
     total = reps.count() * p.a
     limit = max(p.hot_rows, total // p.hot_keys)
     hot = half.groupBy("ka").agg(F.count("*").alias("rows")).where(F.col("rows") > limit)
@@ -145,23 +157,43 @@ def _members(reps: DataFrame, p: NearDupParams) -> DataFrame:
     is_hot = hot.count() > 0
     if is_hot:
         half = half.join(F.broadcast(hot), "ka", "left")
-        half = half.select("id", "n", "b", "ka", F.coalesce(F.pmod(F.xxhash64("id"), "salts") + 1, F.lit(0)).alias("salt"))
+        half = half.select("id", "n", "b", "i", "ka", F.coalesce(F.pmod(F.xxhash64("id"), "salts") + 1, F.lit(0)).alias("salt"))
     else:
         half = half.withColumn("salt", F.lit(0).cast("long"))
-    full = half.repartition("ka", "salt").select("id", "n", "ka", "salt", F.posexplode("b").alias("j", "kb"))
+    full = half.repartition("ka", "salt").select("id", "n", "i", "ka", "salt", F.posexplode("b").alias("j", "kb"))
 
     def shared(df: DataFrame, *keys: str) -> DataFrame:
         w = _same_key(*keys)
         return df.withColumns({"before": F.lag("id").over(w), "after": F.lead("id").over(w), "center": F.first("id").over(w)})
 
-    bucket = F.xxhash64("ka", "j", "kb").alias("bucket")
+    out = [F.xxhash64("ka", "j", "kb").alias("bucket"), (F.col("i") * p.b + F.col("j")).alias("place"), "id", "n", "center"]
     two: Column = F.col("before").isNotNull() | F.col("after").isNotNull()
     first = shared(full, "ka", "salt", "j", "kb")
     if not is_hot:
-        return first.where(two).select(bucket, "id", "n", "center")
-    first = cut(first.where(two | (F.col("salt") > 0)).select("ka", "salt", "j", "kb", "id", "n", "center", two.alias("two")), "nd-first")
-    heads = shared(first.where("salt > 0 AND id = center").select("ka", "j", "kb", "id", "n"), "ka", "j", "kb")
-    return first.where("two").select(bucket, "id", "n", "center").union(heads.where(two).select(bucket, "id", "n", "center"))
+        return first.where(two).select(out)
+    first = cut(first.where(two | (F.col("salt") > 0)).select("i", "ka", "salt", "j", "kb", "id", "n", "center", two.alias("two")), "nd-first")
+    heads = shared(first.where("salt > 0 AND id = center").select("i", "ka", "j", "kb", "id", "n"), "ka", "j", "kb")
+    return first.where("two").select(out).union(heads.where(two).select(out))
+
+
+def _across(open_: DataFrame, reps: DataFrame, p: NearDupParams) -> DataFrame:
+    """Pairs (u, v) of different components that share a table, once each, less those whose sketches rule them out.
+
+    A pair is taken in the first table that it shares: the first i with equal A[i] and the first j with equal B[j].
+    """
+    sketch = [F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(_PARITY // 64)]
+    sketch += [F.hash(F.get("a", F.lit(k))).alias(f"a{k}") for k in range(p.a)] + [F.get("b", F.lit(k)).alias(f"b{k}") for k in range(p.b)]
+    rows = open_.join(reps.select("id", *sketch), "id")
+    mine, other = rows.alias("x"), rows.alias("y")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+
+    def first(name: str, count: int) -> Column:
+        return F.coalesce(*(F.when(x(f"{name}{k}") == y(f"{name}{k}"), F.lit(k)) for k in range(count)))
+
+    differ = sum((F.bit_count(x(f"p{k}").bitwiseXOR(y(f"p{k}"))) for k in range(1, _PARITY // 64)), F.bit_count(x("p0").bitwiseXOR(y("p0"))))
+    near = (x("n") * 100 >= y("n") * p.percent) & (y("n") * 100 >= x("n") * p.percent) & (differ * (100 + p.percent) <= (x("n") + y("n")) * (100 - p.percent))
+    once = first("a", p.a) * p.b + first("b", p.b) == x("place")
+    return mine.join(other, (x("bucket") == y("bucket")) & (x("id") > y("id")) & (x("comp") != y("comp")) & near & once).select(x("id").alias("u"), y("id").alias("v"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
@@ -195,17 +227,13 @@ def near_duplicates(documents: DataFrame, params: NearDupParams | None = None, i
     members = cut(_members(reps, p), "nd-members")
 
     stars = members.where("id <> center")
-    near = F.col("nu") * 100 >= F.col("nv") * p.percent
-    near &= F.col("nv") * 100 >= F.col("nu") * p.percent
     tested = cut(stars.groupBy("id").agg(F.min("center").alias("v")).select(F.col("id").alias("u"), "v"), "nd-pairs")
     links = [_confirmed(tested, docs, p)]
     comp = components(links[0])
-    member_of = members.join(comp, "id", "left").select("bucket", "id", "n", "center", F.coalesce("component_id", "id").alias("comp"))
+    member_of = members.join(comp, "id", "left").select("bucket", "place", "id", "n", F.coalesce("component_id", "id").alias("comp"))
     open_buckets = member_of.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-    rest = cut(member_of.join(open_buckets, "bucket").select("bucket", "id", "n", "comp"), "nd-open")
-    u, v = (rest.select("bucket", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}")) for x in "uv")
-    across = u.join(v, "bucket").where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & near).select("u", "v").distinct()
-    across = cut(across.join(tested, ["u", "v"], "left_anti"), "nd-across")
+    rest = cut(member_of.join(open_buckets, "bucket").select("bucket", "place", "id", "n", "comp"), "nd-open")
+    across = cut(_across(rest, reps, p).distinct().join(tested, ["u", "v"], "left_anti"), "nd-across")
     if across.count():
         links.append(_confirmed(across, docs, p))
         comp = components(links[0].union(links[1]))
