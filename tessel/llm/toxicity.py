@@ -25,7 +25,7 @@ from tessel.runtime import ship_package
 class ToxicityParams:
     """buckets: rows of each embedding table, a power of 2. word, char: sizes of the embeddings. state: of each
     recurrence. window, stride: words. sample: labelled documents of each class to learn from, about. epochs, batch,
-    rate: of training. gram: bytes in a character n-gram."""
+    rate: of training. least: steps of training, in further epochs if need be. gram: bytes in a character n-gram."""
 
     buckets: int = 1 << 16
     word: int = 8
@@ -35,6 +35,7 @@ class ToxicityParams:
     stride: int = 30
     sample: int = 2000
     epochs: int = 5
+    least: int = 150
     batch: int = 256
     rate: float = 0.01
     gram: int = 4
@@ -257,7 +258,9 @@ def train(texts: list[bytes], labels: np.ndarray, p: ToxicityParams) -> Model:
     second = {k: np.zeros_like(v) for k, v in m.items()}
     share = min(0.99, max(0.01, float(labels[~apart].mean())))
     step = 0
-    for epoch in range(p.epochs):
+    epoch = -1
+    while epoch + 1 < p.epochs or 0 < step < p.least:
+        epoch += 1
         for c in rng.permutation(len(parts)).tolist():
             t, y = parts[c], of[c]
             if not len(t.windows):
