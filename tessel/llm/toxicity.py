@@ -224,7 +224,7 @@ def gradients(m: Model, t: Texts, rows: np.ndarray, label: np.ndarray, weight: n
 
 
 def _evidence(texts: list[Texts], labels: list[np.ndarray], p: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of each word's and n-gram's bucket by the documents that have it; 0 for those in under three."""
+    """Log-odds of each word's and n-gram's bucket by the documents that have it; NaN for those in under three."""
     seen = np.zeros((2, 2, p.buckets))
     total = np.zeros(2)
     for t, y in zip(texts, labels, strict=True):
@@ -235,7 +235,7 @@ def _evidence(texts: list[Texts], labels: list[np.ndarray], p: ToxicityParams) -
             own = np.unique(rows * p.buckets + bucket)
             np.add.at(seen[which], (y[own // p.buckets], own % p.buckets), 1)
     odds = np.log((seen[:, 1] + 0.5) / (total[1] + 1)) - np.log((seen[:, 0] + 0.5) / (total[0] + 1))
-    odds[seen.sum(1) < 3] = 0
+    odds[seen.sum(1) < 3] = np.nan
     return odds[0], odds[1]
 
 
@@ -252,7 +252,10 @@ def train(texts: list[bytes], labels: np.ndarray, p: ToxicityParams) -> Model:
         parts.append(Texts(some, p))
         of.append(labels[~apart][at : at + len(some)].astype(np.int64))
     words, grams = _evidence(parts, of, p)
-    m["words"][:, 0], m["chars"][:, 0] = np.clip(words, -4, 8) / 4, np.clip(grams, -4, 8) / 4
+    known = {"words": ~np.isnan(words), "chars": ~np.isnan(grams)}  # the rest stay 0: nothing can be learned of them
+    for k, odds in (("words", words), ("chars", grams)):
+        m[k][:, 0] = np.clip(odds, -4, 8) / 4
+        m[k][~known[k]] = 0
     rng = np.random.default_rng(p.seed)
     first = {k: np.zeros_like(v) for k, v in m.items()}
     second = {k: np.zeros_like(v) for k, v in m.items()}
@@ -281,7 +284,7 @@ def train(texts: list[bytes], labels: np.ndarray, p: ToxicityParams) -> Model:
                 _, grad = gradients(m, t, own, label.astype(np.float32), np.where(label > 0, 1 / share, 1 / (1 - share)).astype(np.float32))
                 step += 1
                 for k, d in grad.items():  # rows of embeddings that weren't touched stay as they are
-                    at, d = d if isinstance(d, tuple) else (slice(None), d)
+                    at, d = (d[0][known[k][d[0]]], d[1][known[k][d[0]]]) if isinstance(d, tuple) else (slice(None), d)
                     first[k][at] += 0.1 * (d - first[k][at])
                     second[k][at] += 0.01 * (d * d - second[k][at])
                     m[k][at] -= (p.rate * (first[k][at] / (1 - 0.9**step)) / (np.sqrt(second[k][at] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
