@@ -25,15 +25,16 @@ from tessel.runtime import cut, ship_package
 @dataclass(frozen=True)
 class PackParams:
     """size: tokens in a sequence. end: id after each document. rounds: configurations priced at most. share: part of
-    the scarcest length's demand that a configuration takes. rate: of the weights. rows: pieces of one length ranked in
-    one task, about."""
+    the scarcest length's demand that a configuration takes. rate: of the weights. rows, salts: pieces are dealt over one
+    salt more for each so many, up to salts, and ranked among those of their length and salt."""
 
     size: int = 2048
     end: int = 0
     rounds: int = 900
     share: float = 0.5
     rate: float = 2.0
-    rows: int = 1_000_000
+    rows: int = 4096
+    salts: int = 4096
 
 
 def _price(lengths: np.ndarray, worth: np.ndarray, bound: np.ndarray, size: int) -> dict[int, int]:
@@ -161,7 +162,7 @@ def pack(documents: DataFrame, tokenizer: str, params: PackParams | None = None,
     full = every.where(F.col("length") == p.size).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = every.where(F.col("length") < p.size)
     demand = {r["length"]: r["count"] for r in part.groupBy("length").count().collect()}
-    salts = 1 + sum(demand.values()) // p.rows
+    salts = min(p.salts, 1 + sum(demand.values()) // p.rows)
     rows, base = [], 0
     rank: dict[int, int] = defaultdict(int)
     for config, times in solve(demand, p):
