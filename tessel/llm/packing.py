@@ -30,7 +30,7 @@ class PackParams:
 
     size: int = 2048
     end: int = 0
-    rounds: int = 900
+    rounds: int = 200
     share: float = 0.5
     rate: float = 2.0
     rows: int = 4096
