@@ -221,8 +221,8 @@ def near_duplicates(documents: DataFrame, params: NearDupParams | None = None, i
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = cut(docs.mapInArrow(_signatures(p), _SIG), "nd-sig")
     some = sig.where("n > 0 AND id IS NOT NULL")
-    same = some.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    copies = cut(some.select("id", "s1", "s2", "n").join(same.where("last > rep"), ["s1", "s2", "n"]).where("id > rep").select("id", "rep").distinct(), "nd-copies")
+    same = cut(some.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("last > rep"), "nd-same")
+    copies = cut(some.select("id", "s1", "s2", "n").join(same, ["s1", "s2", "n"]).where("id > rep").select("id", "rep").distinct(), "nd-copies")
     reps = some.join(ids_side(copies.select("id")), "id", "left_anti").dropDuplicates(["id"])
     members = cut(_members(reps, p), "nd-members")
 

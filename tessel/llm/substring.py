@@ -127,7 +127,7 @@ def repeated_ranges(documents: DataFrame, params: SubstringParams | None = None,
     ship_package(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     found = cut(docs.mapInArrow(_paths(p), _PATHS).where(f"n >= {p.span}"), "ss-paths")
-    same = found.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("last > rep")
+    same = cut(found.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("last > rep"), "ss-same")
     copies = cut(found.select("id", "s1", "s2", "n").join(same, ["s1", "s2", "n"]).where("id > rep").select("id", "n").distinct(), "ss-copies")
     one = found.join(ids_side(copies.select("id")), "id", "left_anti")
     path = one.select("id", F.explode(F.arrays_zip("lo", "c", "edge", "path")).alias("x")).select("id", F.struct("x.lo", "x.c").alias("r"), "x.edge", "x.path")
