@@ -75,3 +75,75 @@ def equal_earth(lon: Column, lat: Column) -> Column:
     t6 = t2 * t2 * t2
     d = 9 * a4 * t6 * t2 + 7 * a3 * t6 + 3 * a2 * t2 + a1
     return F.struct((2 * 3**0.5 * F.radians(lon) * F.cos(t) / (3 * d)).alias("x"), (t * (a4 * t6 * t2 + a3 * t6 + a2 * t2 + a1)).alias("y"))
+
+
+def _poly(coefs: tuple[float, ...], t: Column) -> Column:
+    out: Column = F.lit(coefs[-1])
+    for c in reversed(coefs[:-1]):
+        out = out * t + c
+    return out
+
+
+def _newton(y: Column, f, slope, rounds: int = 12) -> Column:
+    """x with f(x) = y, from y itself; an expression of constant size."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), y, lambda x, _: x - (f(x) - y) / slope(x))
+
+
+#: The polynomials of the Natural Earth projection, in the square of the latitude.
+NATURAL_EARTH_X = (0.8707, -0.131979, -0.013791, 0.003971, -0.001529)
+NATURAL_EARTH_Y = (1.007226, 0.015085, -0.044475, 0.028874, -0.005916)
+
+
+def natural_earth(lon: Column, lat: Column) -> Column:
+    p = F.radians(lat)
+    return F.struct((F.radians(lon) * _poly(NATURAL_EARTH_X, p * p)).alias("x"), (p * _poly(NATURAL_EARTH_Y, p * p)).alias("y"))
+
+
+def natural_earth_inverse(x: Column, y: Column) -> Column:
+    """struct(lon, lat)."""
+    slopes = tuple((2 * i + 1) * c for i, c in enumerate(NATURAL_EARTH_Y))
+    p = _newton(y, lambda t: t * _poly(NATURAL_EARTH_Y, t * t), lambda t: _poly(slopes, t * t))
+    return F.struct(F.degrees(x / _poly(NATURAL_EARTH_X, p * p)).alias("lon"), F.degrees(p).alias("lat"))
+
+
+def mercator_inverse(x: Column, y: Column) -> Column:
+    return F.struct(F.degrees(x).alias("lon"), F.degrees(2 * F.atan(F.exp(y)) - 1.5707963267948966).alias("lat"))
+
+
+def equirectangular_inverse(x: Column, y: Column) -> Column:
+    return F.struct(F.degrees(x).alias("lon"), F.degrees(y).alias("lat"))
+
+
+def equal_earth_inverse(x: Column, y: Column) -> Column:
+    a1, a2, a3, a4 = EQUAL_EARTH
+    slope = lambda t: _poly((a1, 3 * a2, 0.0, 7 * a3, 9 * a4), t * t)
+    t = _newton(y, lambda t: t * _poly((a1, a2, 0.0, a3, a4), t * t), slope)
+    return F.struct(F.degrees(3 * x * slope(t) / (2 * 3**0.5 * F.cos(t))).alias("lon"), F.degrees(F.asin(2 * F.sin(t) / 3**0.5)).alias("lat"))
+
+
+#: Standard parallels, origin (lon, lat), scale and offset of the conics of the composite for the USA.
+ALBERS_USA = {
+    "lower48": (29.5, 45.5, -98.0, 38.0, 1.0, 0.0, 0.0),
+    "alaska": (55.0, 65.0, -154.0, 50.0, 0.35, -0.25, -0.37),
+    "hawaii": (8.0, 18.0, -157.0, 13.0, 0.35, -0.07, -0.35),
+}
+
+
+def albers(lon: Column, lat: Column, par1: float, par2: float, lon0: float, lat0: float, scale: float = 1.0, dx: float = 0.0, dy: float = 0.0) -> Column:
+    """struct(x, y) of the equal-area conic with two standard parallels."""
+    from math import cos, radians, sin, sqrt
+
+    n = (sin(radians(par1)) + sin(radians(par2))) / 2
+    c = cos(radians(par1)) ** 2 + 2 * n * sin(radians(par1))
+    rho0 = sqrt(abs(c - 2 * n * sin(radians(lat0)))) / n
+    rho = F.sqrt(F.abs(c - 2 * n * F.sin(F.radians(lat)))) / n
+    theta = n * (F.radians(lon) - radians(lon0))
+    return F.struct((rho * F.sin(theta) * scale + dx).alias("x"), ((rho0 - rho * F.cos(theta)) * scale + dy).alias("y"))
+
+
+def albers_usa(lon: Column, lat: Column) -> Column:
+    """Hawaii and Alaska as insets; the Aleutians past the date line go with Alaska."""
+    hawaii = (lat < 25) & (lon > -180) & (lon < -154)
+    alaska = (lat > 50) & ((lon < -130) | (lon > 170))
+    part = {k: albers(lon, lat, *v) for k, v in ALBERS_USA.items()}
+    return F.when(hawaii, part["hawaii"]).when(alaska, part["alaska"]).otherwise(part["lower48"])
