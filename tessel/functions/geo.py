@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -141,6 +143,47 @@ def albers(lon: Column, lat: Column, par1: float, par2: float, lon0: float, lat0
     return F.struct((rho * F.sin(theta) * scale + dx).alias("x"), ((rho0 - rho * F.cos(theta)) * scale + dy).alias("y"))
 
 
+def albers_inverse(x: Column, y: Column, par1: float, par2: float, lon0: float, lat0: float, scale: float = 1.0, dx: float = 0.0, dy: float = 0.0) -> Column:
+    """struct(lon, lat) of a point of albers(); both parallels lie north of the equator."""
+    from math import cos, radians, sin, sqrt
+
+    n = (sin(radians(par1)) + sin(radians(par2))) / 2
+    c = cos(radians(par1)) ** 2 + 2 * n * sin(radians(par1))
+    u, v = (x - dx) / scale, sqrt(abs(c - 2 * n * sin(radians(lat0)))) / n - (y - dy) / scale
+    height = (c - (u * u + v * v) * n * n) / (2 * n)
+    return F.struct((lon0 + F.degrees(F.atan2(u, v)) / n).alias("lon"), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), height)))).alias("lat"))
+
+
+def simplify(line: Column, epsilon: float) -> Column:
+    """The points of a line (array<struct<x, y>>) that Ramer, Douglas and Peucker's rule keeps: both ends, and between two
+    kept ones the farthest from their chord if it is more than epsilon away."""
+    @F.pandas_udf("array<int>")
+    def kept(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        def one(x, y):
+            if x is None:
+                return None
+            p = np.stack([np.asarray(x, dtype=float), np.asarray(y, dtype=float)])
+            last = p.shape[1] - 1
+            stay, open_ = {0, last} if last >= 0 else set(), [(0, last)]
+            while open_:
+                a, b = open_.pop()
+                if b - a < 2:
+                    continue
+                chord, rest = p[:, b] - p[:, a], p[:, a + 1 : b] - p[:, [a]]
+                long = np.hypot(*chord)
+                off = np.abs(chord[0] * rest[1] - chord[1] * rest[0]) / long if long > 1e-10 else np.hypot(*rest)
+                if off.max() > epsilon:
+                    m = a + 1 + int(off.argmax())
+                    stay.add(m)
+                    open_ += [(a, m), (m, b)]
+            return sorted(stay)
+
+        return pd.Series([one(x, y) for x, y in zip(xs, ys, strict=True)], dtype=object)
+
+    at = kept(F.transform(line, lambda p: p["x"].cast("double")), F.transform(line, lambda p: p["y"].cast("double")))
+    return F.transform(at, lambda i: F.get(line, i))
+
+
 def albers_usa(lon: Column, lat: Column) -> Column:
     """Hawaii and Alaska as insets; the Aleutians past the date line go with Alaska."""
     hawaii = (lat < 25) & (lon > -180) & (lon < -154)

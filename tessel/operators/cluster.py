@@ -120,3 +120,60 @@ def agglomerative(df: DataFrame, key: str, vec: str, k: int, linkage: str = "war
     place = {c: p for p, c in enumerate(dict.fromkeys(of.tolist()))}
     kind = dict(df.dtypes)[key]
     return df.sparkSession.createDataFrame([(r[key], place[int(c)]) for r, c in zip(rows, of, strict=True)], f"`{key}` {kind}, cluster long")
+
+
+def hdbscan(df: DataFrame, key: str, vec: str, min_cluster_size: int = 5, min_samples: int | None = None) -> DataFrame:
+    """(key, cluster) by density hierarchy, -1 for noise. Two rows are as far apart as the greatest of their distance and
+    of either's distance to its min_samples-th neighbour; along the least spanning tree of that, shortest edge first, each
+    side of a merge of two groups of min_cluster_size rows becomes a cluster unless it holds one already. Rows that merge
+    in later are noise; without such a merge all rows are one cluster. Quadratic on the driver: more than MOST_HIERARCHY
+    rows are refused."""
+    import numpy as np
+
+    rows = df.select(key, F.col(vec).cast("array<double>").alias("v")).orderBy(key).limit(MOST_HIERARCHY + 1).collect()
+    if len(rows) > MOST_HIERARCHY:
+        raise ValueError(f"over {MOST_HIERARCHY} rows")
+    n = len(rows)
+    cluster = np.full(n, -1)
+    if n >= min_cluster_size and n:
+        x = np.array([r["v"] for r in rows])
+        sq = (x * x).sum(1)
+        d = np.sqrt(np.maximum(sq[:, None] + sq[None] - 2 * x @ x.T, 0))
+        np.fill_diagonal(d, -1)
+        k = max(1, min(min_samples or min_cluster_size, n - 1))
+        core = np.sort(d, axis=1)[:, min(k, n - 1)]
+        d = np.maximum(np.maximum(d, core[:, None]), core[None])
+        group = {i: [i] for i in range(n)}
+        of, held, count = np.arange(n), np.zeros(n, dtype=bool), 0
+        for u, v in _spanning(d):
+            a, b = sorted((of[u], of[v]), key=lambda g: -len(group[g]))
+            if len(group[b]) >= min_cluster_size:
+                for side in (of[u], of[v]):
+                    if not held[side]:
+                        cluster[group[side]] = count
+                        count += 1
+                        held[side] = True
+            held[a] |= held[b]
+            of[group[b]] = a
+            group[a] += group.pop(b)
+        if not count:
+            cluster[:] = 0
+    kind = dict(df.dtypes)[key]
+    return df.sparkSession.createDataFrame([(r[key], int(c)) for r, c in zip(rows, cluster, strict=True)], f"`{key}` {kind}, cluster long")
+
+
+def _spanning(d) -> list[tuple[int, int]]:
+    """Edges of the least spanning tree of a matrix of distances, shortest first."""
+    import numpy as np
+
+    near, source, out = d[0].copy(), np.zeros(len(d), dtype=int), []
+    near[0] = np.inf
+    done = np.zeros(len(d), dtype=bool)
+    done[0] = True
+    for _ in range(len(d) - 1):
+        i = int(np.where(done, np.inf, near).argmin())
+        done[i] = True
+        out.append((near[i], source[i], i))
+        closer = ~done & (d[i] < near)
+        near[closer], source[closer] = d[i][closer], i
+    return [(u, v) for _, u, v in sorted(out, key=lambda e: e[0])]
