@@ -103,7 +103,7 @@ def _(spark, d):
     return rounded(stats.stack(_monthly(spark, d), "x", "layer", "y"), 2)
 
 
-@query("fill_by_month", f"{_STACK}, t AS (SELECT x, layer, base, base + y AS top, last_value(base + y) OVER (PARTITION BY x ORDER BY layer ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM b) SELECT x, layer, round(CASE WHEN abs(l) > 1e-12 THEN base / l ELSE 0 END, 6) AS base, round(CASE WHEN abs(l) > 1e-12 THEN top / l ELSE 0 END, 6) AS top FROM t")
+@query("fill_by_month", f"{_STACK}, t AS (SELECT x, layer, base, base + y AS top, last_value(base + y) OVER (PARTITION BY x ORDER BY layer ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM b) SELECT x, layer, round(CASE WHEN abs(l) > 1e-12 THEN base / l ELSE 0 END, 6) + 0.0 AS base, round(CASE WHEN abs(l) > 1e-12 THEN top / l ELSE 0 END, 6) + 0.0 AS top FROM t")
 def _(spark, d):
     return rounded(stats.fill(_monthly(spark, d), "x", "layer", "y"))
 
