@@ -4,8 +4,8 @@ A window is `span` consecutive words. Its k-mer with the smallest hash is its ed
 equal windows have equal edges wherever they occur. The windows of a text that follow one another with the same edge are
 one path; a path is known by the hash of all its words. Most edges lie on one path only (they don't branch), and then a
 path that repeats covers all of its windows at once: paths meet in one join. Where an edge branches, that is, several
-different paths run through it, the windows of each path's first occurrence are taken apart at their source coordinates
-and meet in a second join. So each window is held against the smallest doc_id in which it starts, and few are shuffled.
+different paths run through it, the windows of each path are taken apart at their source coordinates, wherever it occurs
+in its first text, and meet in a second join. So each window is held against the smallest doc_id in which it starts, and few are shuffled.
 """
 
 from __future__ import annotations
@@ -131,12 +131,15 @@ def repeated_ranges(documents: DataFrame, params: SubstringParams | None = None,
     copies = cut(found.select("id", "s1", "s2", "n").join(same, ["s1", "s2", "n"]).where("id > rep").select("id", "n").distinct(), "ss-copies")
     one = found.join(ids_side(copies.select("id")), "id", "left_anti")
     path = one.select("id", F.explode(F.arrays_zip("lo", "c", "edge", "path")).alias("x")).select("id", F.struct("x.lo", "x.c").alias("r"), "x.edge", "x.path")
-    graph = cut(path.groupBy("edge", "path").agg(F.min(F.struct("id", "r")).alias("at"), F.max("id").alias("last")), "ss-graph")
+    graph = cut(path.groupBy("edge", "path").agg(F.min(F.struct("id", "r")).alias("at"), F.max("id").alias("last"), F.count("*").alias("times")), "ss-graph")
     seen = graph.where("last > at.id").select("path", F.col("at.id").alias("first"))
     whole = path.select("id", "r", "path").join(seen, "path").where("id > first").select("id", "r")
 
     branches = graph.groupBy("edge").agg(F.count("*").alias("ways")).where("ways > 1").select("edge")
-    apart = graph.join(branches, "edge").select("at.id", "at.r").groupBy("id").agg(F.collect_list("r").alias("ranges"))
+    open_ = cut(graph.join(branches, "edge").select("path", "at.id", "at.r", "times"), "ss-open")
+    often = open_.where("times > 1").select("path", "id").distinct()
+    again = path.join(ids_side(often), ["path", "id"]).select("id", "r")
+    apart = open_.where("times = 1").select("id", "r").union(again).groupBy("id").agg(F.collect_list("r").alias("ranges"))
     apart = cut(apart, "ss-apart")
     text = docs.join(ids_side(apart.select("id")), "id", "left_semi").join(apart, "id").select("id", "text", "ranges")
     windows = text.mapInArrow(_windows(p.span), "id long, lo array<int>, h array<long>")
@@ -145,7 +148,7 @@ def repeated_ranges(documents: DataFrame, params: SubstringParams | None = None,
     single = window.join(first, "h").where("id > first").select("id", F.struct("lo", F.lit(1).alias("c")).alias("r"))
     all_words = copies.select("id", F.struct(F.lit(0).alias("lo"), (F.col("n") - (p.span - 1)).cast("int").alias("c")).alias("r"))
     out = cut(whole.union(single).union(all_words).groupBy("id").agg(F.collect_list("r").alias("ranges")), "ss-ranges")
-    for t in (found, copies, graph, apart, window):
+    for t in (found, copies, graph, open_, apart, window):
         drop_table(t)
     return out
 

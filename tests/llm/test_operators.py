@@ -119,6 +119,18 @@ def test_substring(docs, rows, empty, spark):
     assert sorted(r.n_removed for r in substring_digest(odd).collect()) == [0, 0, 0]
 
 
+def test_substring_repeats_within_a_text(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(12):
+        block = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        a, b, c, x = block(60), block(30), block(40), block(50)
+        rows += [(10 * i + 3, " ".join(a + x)), (10 * i + 5, " ".join(a[:20] + b + a + b + c + b + a + b + c))]
+        want |= {10 * i + 3: 0, 10 * i + 5: 120}
+    got = substring_digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == want
+
+
 def test_quality(docs, rows, empty):
     got = {r.doc_id: r for r in judge(docs).collect()}
     assert len(got) == len(rows)
