@@ -1,8 +1,8 @@
 """Packing pieces of documents into sequences: a configuration linear program over the histogram of lengths.
 
 A configuration is a multiset of lengths that fits one sequence. Multiplicative weights on the lengths' demands price
-configurations by a knapsack dynamic program; what they use in part is rounded down, and the lengths that are left go by
-best fit, largest first. All of that sees only the histogram (at most `size` numbers), on the driver. The pieces then
+configurations by a knapsack dynamic program until every demand is met, or until a plan, completed by best fit (largest
+length first), is within a stated gap of the lower bound. All of that sees only the histogram (at most `size` numbers), on the driver. The pieces then
 find their places by their rank among those of their length: the plan is a table of ranges of ranks.
 """
 
@@ -24,12 +24,14 @@ from tessel.runtime import cut, ship_package
 
 @dataclass(frozen=True)
 class PackParams:
-    """size: tokens in a sequence. end: id after each document. rounds: configurations priced at most. share: part of
-    the scarcest length's demand that a configuration takes. rate: of the weights. rows, salts: pieces are dealt over one
+    """size: tokens in a sequence. end: id after each document. gap: pricing ends once a plan has at most this part more
+    sequences than the lower bound, or all demands are met. rounds: configurations priced between two looks at that.
+    share: part of the scarcest length's demand that a configuration takes. rate: of the weights. rows, salts: pieces are dealt over one
     salt more for each so many, up to salts, and ranked among those of their length and salt."""
 
     size: int = 2048
     end: int = 0
+    gap: float = 0.0002
     rounds: int = 200
     share: float = 0.5
     rate: float = 2.0
@@ -39,22 +41,29 @@ class PackParams:
 
 def _price(lengths: np.ndarray, worth: np.ndarray, bound: np.ndarray, size: int) -> dict[int, int]:
     """Lengths (each at most bound times) that fit size and are worth most: knapsack over capacities, largest length
-    first; each is tried once, twice, four times and so on."""
+    first; each is tried once, twice, four times and so on. Of those over half of size only one fits: all are tried at
+    once on top of the others."""
+    small = int(np.searchsorted(lengths, size // 2, side="right"))
     best = np.zeros(size + 1)
     took: list[tuple[int, int, np.ndarray]] = []
-    for length, value, most in zip(lengths[::-1].tolist(), worth[::-1].tolist(), bound[::-1].tolist(), strict=True):
+    for length, value, most in zip(lengths[:small][::-1].tolist(), worth[:small][::-1].tolist(), bound[:small][::-1].tolist(), strict=True):
         left, step = min(most, size // length), 1
         while left > 0:
             n = min(step, left)
             room = size + 1 - n * length
             with_it = best[:room] + n * value
             better = with_it > best[n * length :] + 1e-12
-            if better.any():
-                took.append((length, n, better))
-                np.maximum(best[n * length :], with_it, out=best[n * length :])
+            took.append((length, n, better))
+            np.maximum(best[n * length :], with_it, out=best[n * length :])
             left -= n
             step *= 2
     room, out = int(np.argmax(best)), defaultdict(int)
+    if small < len(lengths):
+        with_one = worth[small:] + best[size - lengths[small:]]
+        i = int(np.argmax(with_one))
+        if with_one[i] > best[room] + 1e-12:
+            one = int(lengths[small + i])
+            out[one], room = 1, size - one
     for length, n, better in reversed(took):
         if room >= n * length and better[room - n * length]:
             out[length] += n
@@ -92,35 +101,35 @@ def best_fit(demand: dict[int, int], size: int) -> list[tuple[dict[int, int], in
 
 
 def solve(demand: dict[int, int], p: PackParams) -> list[tuple[dict[int, int], int]]:
-    """(configuration, times): every length is used as often as demanded."""
+    """(configuration, times): every length is used as often as demanded. The shortest of plain best fit and the plans
+    looked at."""
     whole = {n: c for n, c in demand.items() if n < p.size and c > 0}
-    plain = best_fit(whole, p.size)
     lower = -(-sum(n * c for n, c in whole.items()) // p.size)
+    plan = best_fit(whole, p.size)
+    made = sum(t for _, t in plan)
     lengths = np.array(sorted(whole), dtype=np.int64)
-    count = np.array([whole[n] for n in lengths.tolist()], dtype=float)
+    count = np.array([whole[n] for n in lengths.tolist()], dtype=np.int64)
     left, weight = count.copy(), np.ones(len(lengths))
-    used: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
-    for _ in range(p.rounds):
-        open_ = np.flatnonzero(left >= 1)
-        if not len(open_):
-            break
-        config = _price(lengths[open_], lengths[open_] * weight[open_], left[open_].astype(np.int64), p.size)
-        i = np.searchsorted(lengths, sorted(config))
-        k = np.array([config[n] for n in lengths[i].tolist()], dtype=float)
-        times = max(1.0, p.share * float(np.min(left[i] / k)))
-        used[tuple(sorted(config.items()))] += times
-        left[i] -= times * k
-        weight[i] *= np.exp(-p.rate * times * k / count[i])
-        weight /= weight.max()
-    plan = [(dict(c), int(t)) for c, t in used.items() if int(t)]
-    rest = dict(whole)
-    for config, times in plan:
-        for n, k in config.items():
-            rest[n] -= k * times
-    plan += best_fit({n: c for n, c in rest.items() if c}, p.size)
-    made, other = sum(t for _, t in plan), sum(t for _, t in plain)
-    assert min(made, other) >= lower
-    return plan if made <= other else plain
+    used: dict[tuple[tuple[int, int], ...], int] = defaultdict(int)
+    while made > lower * (1 + p.gap) and left.any():
+        for _ in range(p.rounds):
+            open_ = np.flatnonzero(left)
+            if not len(open_):
+                break
+            config = _price(lengths[open_], lengths[open_] * weight[open_], left[open_], p.size)
+            i = np.searchsorted(lengths, sorted(config))
+            k = np.array([config[n] for n in lengths[i].tolist()], dtype=np.int64)
+            times = max(1, int(p.share * int(np.min(left[i] // k))))
+            used[tuple(sorted(config.items()))] += times
+            left[i] -= times * k
+            weight[i] *= np.exp(-p.rate * times * k / count[i])
+            weight /= weight.max()
+        rest = best_fit({n: c for n, c in zip(lengths.tolist(), left.tolist(), strict=True) if c}, p.size)
+        now = sum(used.values()) + sum(t for _, t in rest)
+        if now <= made:
+            plan, made = [(dict(c), t) for c, t in used.items()] + rest, now
+    assert made >= lower
+    return plan
 
 
 def pieces(documents: DataFrame, tokenizer: str, p: PackParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
