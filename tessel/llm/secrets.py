@@ -33,6 +33,15 @@ def _any_case(words: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
 
 
+_GAP = r"""(?:\\[nr]|[\x20\x09-\x0D"',>])*+"""
+#: A private key: from its BEGIN line to the END line, whatever lies between but another line of five hyphens; without an
+#: END line, to the end of the header fields and base64 lines (the last one may be short). Line ends may be blanks or written as \n; without END, one word after them may go too.
+_PEM = (
+    "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
+    "(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]{0,32}PRIVATE KEY-----"
+    f"|(?:{_GAP}[A-Z][A-Za-z-]*+:[\\x20\\x09]*+[!-\\[\\]-~]++)*+(?:{_GAP}[A-Za-z0-9+/]{{40,}}+={{0,2}}+)++(?:{_GAP}[A-Za-z0-9+/]{{2,}}+={{0,2}}+)?+"
+    "|)"
+)
 #: The three base rules, then those that the method adds.
 RULES = (
     Rule("assign", "(" + _any_case("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2, True),
@@ -41,7 +50,7 @@ RULES = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("google", "AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
+    Rule("pem", _PEM),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("stripe", "[rs]k_live_[A-Za-z0-9]{16,}"),
 )
