@@ -24,17 +24,19 @@ _X = ("x1", "x2", "x3", "x4")
 class QualityParams:
     """min_words, max_repeat: the base rules (repeat in hundredths). half: part of a group that its estimate rests on.
     consistency: half / P(chi2(6) <= the half quantile of chi2(4)), by which its covariance is too small. floor: least
-    standard deviation of each statistic. steps: of concentration. cutoff: squared distance beyond which a text is
-    rejected (1 - 1e-8 of chi2(4) lie below 42). group: fewer rows share an estimate with the language's other small
+    standard deviation of each statistic, for groups where most texts have the same value; the shortest text that passes
+    the base rules may repeat three words once (12 in 100, x4 = log 13 = 4.28 floors) where no other text repeats any, if
+    all else is usual. steps: of concentration. cutoff: squared distance beyond which a text is rejected (0.999 of chi2(4)
+    lie below). group: fewer rows share an estimate with the language's other small
     groups; if they too are fewer, no verdict is made. bins: histogram bins in a unit."""
 
     min_words: int = 50
     max_repeat: int = 50
     half: float = 0.75
     consistency: float = 1.485
-    floor: tuple[float, float, float, float] = (0.15, 0.8, 0.8, 0.8)
+    floor: tuple[float, float, float, float] = (0.05, 0.6, 0.6, 0.6)
     steps: int = 3
-    cutoff: float = 42.0
+    cutoff: float = 18.467
     group: int = 50
     bins: int = 64
 

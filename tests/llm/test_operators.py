@@ -154,6 +154,20 @@ def test_quality_rejects_outliers(spark):
     assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(20))
 
 
+def test_quality_rejects_by_one_statistic(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(120)), "en", "s") for i in range(200)]
+    rows += [(200 + i, " ".join([*(word() for _ in range(93)), "abcdef", "bcdefg", "fedcba", "gh", "abcdef", "bcdefg", "fedcba"]), "en", "s") for i in range(2)]
+    for i in range(8):
+        part = [word() for _ in range(20)]
+        rows.append((1000 + i, " ".join("$" + word() for _ in range(120)), "en", "s"))
+        rows.append((2000 + i, "\n".join(x for _ in range(60) for x in ("abcdef", word())), "en", "s"))
+        rows.append((3000 + i, " ".join([*part, *(word() for _ in range(80)), *part]), "en", "s"))
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(202)) and not any(r.kept or r.base_failed for i, r in got.items() if i >= 1000)
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
