@@ -1,9 +1,10 @@
 """Secrets in texts: rules are regular expressions, found by way of a trigram index.
 
-Each rule's expression gives a Boolean query over trigrams that any match contains. The index is a bitmap for each
-trigram of the queries, aligned with the rows of the table: bit r says whether row r has the trigram (case aside). Rules
-intersect and unite these bitmaps and run their expression only over the rows that remain; a rule without a mandatory
-trigram scans every row. The bitmaps lie with the rows, so neither building nor intersecting them moves a text.
+Each rule's expression gives a Boolean query over trigrams that any match contains. One pass over the texts inverts them:
+the index holds, for each trigram that a query names and each block of texts, the keys of the texts with that trigram
+(case aside). Rules intersect and unite these postings block by block; their expression runs only over the texts whose
+keys remain. A rule without a mandatory trigram scans every text. Only keys and trigrams are shuffled, never texts, while
+the candidates are few enough to be broadcast; beyond that rows are joined with them by key.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.runtime import cut, ids_side
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -68,7 +71,10 @@ def _join(op: str, parts: list) -> object:
 
 
 def _of_strings(strings: set[str]) -> object:
-    return _join("or", [_join("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
+    """Any of strings; one whose trigrams include all of another's adds nothing."""
+    grams = {s: {s[i : i + 3] for i in range(len(s) - 2)} for s in strings}
+    least = [s for s in sorted(strings) if not any(grams[x] < grams[s] or (grams[x] == grams[s] and x < s) for x in strings)]
+    return _join("or", [_join("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in least])
 
 
 def _strings(op, value) -> set[str] | None:
@@ -127,12 +133,63 @@ def _trigrams(query) -> list[str]:
     return [] if query is True else [query] if isinstance(query, str) else [t for x in query[1] for t in _trigrams(x)]
 
 
-def _candidate(query, bitmap: dict[str, Column]) -> Column:
-    if query is True:
-        return F.lit(True)
+#: Texts that a block of postings has, about.
+BLOCK = 4096
+
+
+def _any_of(grams: list[str]) -> str:
+    """An expression that finds each of grams wherever it starts, so that a text is read once for all of them."""
+    of: dict[str, list[str]] = {}
+    for g in grams:
+        of.setdefault(g[0], []).append(g[1:])
+    quote = lambda s: "".join(c if c.isalnum() else "\\" + c if ord(c) < 128 else c for c in s)
+    return "(?=(" + "|".join(f"{quote(c)}(?:{'|'.join(map(quote, rest))})" for c, rest in of.items()) + "))"
+
+
+def postings(texts: DataFrame, grams: list[str]) -> DataFrame:
+    """The inverted index of column text: (block, gram, keys), the keys of the texts that have the gram, case aside.
+
+    A key is the text's 64-bit hash, so equal texts are one, and blocks by it are even. Two texts with one hash share
+    their postings, which adds candidates and loses none. The table is written once.
+    """
+    blocks = -(-max(1, texts.count()) // BLOCK)
+    key = F.xxhash64("text")
+    found = texts.where("text IS NOT NULL").select(F.pmod(key, F.lit(blocks)).alias("block"), key.alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_any_of(grams)), F.lit(1)))).alias("gram"))
+    return cut(found.groupBy("block", "gram").agg(F.collect_set("key").alias("keys")), "sec-postings")
+
+
+def _meet(query, held: Column) -> Column:
+    """Keys of a block that a query leaves: intersections and unions of the postings in held, a map by gram."""
     if isinstance(query, str):
-        return bitmap[query]
-    return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), [_candidate(x, bitmap) for x in query[1]])
+        return F.coalesce(F.element_at(held, F.lit(query)), F.array().cast("array<bigint>"))
+    return reduce(F.array_intersect if query[0] == "and" else F.array_union, [_meet(x, held) for x in query[1]])
+
+
+def candidates(index: DataFrame, queries: list) -> DataFrame:
+    """(key, rules): the rules, as bits, whose query the text with that key meets. A block is one row meanwhile."""
+    held = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("held"))
+
+    def part(i: int) -> Column:
+        return F.transform(_meet(queries[i], F.col("held")), lambda k: F.struct(k.alias("key"), F.lit(1 << i).cast("long").alias("bit")))
+
+    parts = [part(i) for i, q in enumerate(queries) if q is not True]
+    return held.select(F.explode(F.concat(*parts)).alias("x")).groupBy("x.key").agg(F.bit_or("x.bit").alias("rules"))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before(values: Column, zero: Column, op) -> Column:
+    """For each place of an array op over all values before it, by blocks of 64, so that long arrays stay cheap."""
+
+    def of(a: Column) -> Column:
+        block = F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / 64).cast("int")), lambda b: F.aggregate(F.slice(a, b * 64 + 1, 64), zero, op))
+        upto = let(block, lambda s: F.transform(s, lambda _, b: F.aggregate(F.slice(s, 1, b), zero, op)))
+        return let(upto, lambda u: F.transform(a, lambda _, i: op(F.get(u, F.floor(i / 64).cast("int")), F.aggregate(F.slice(a, i - i % 64 + 1, i % 64), zero, op))))
+
+    return let(values, of)
 
 
 _SPANS = "array<struct<s:int,k:int,e:int>>"
@@ -140,35 +197,49 @@ _SPANS = "array<struct<s:int,k:int,e:int>>"
 
 def _found(rule: Rule, order: int, text: Column) -> Column:
     """Spans of the matches in text: what lies between them comes from a split by the same expression."""
-    pattern = F.lit(rule.pattern)
-    pairs = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    gaps = F.split(text, rule.pattern, -1)
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
-        held = F.length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) >= rule.length
-        span = F.array(F.struct(s.alias("s"), F.lit(order).alias("k"), e.alias("e")))
-        return F.struct(F.coalesce(e, s).alias("at"), F.when(held, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def spans(h: Column) -> Column:
+        size = F.zip_with(gaps, h, lambda g, x: F.struct(F.length(g).alias("g"), F.coalesce(F.length(x), F.lit(0)).alias("h")))
+        return let(size, lambda z: F.zip_with(F.arrays_zip(z.alias("z"), _before(F.transform(z, lambda x: x["g"] + x["h"]), F.lit(0), lambda a, b: a + b).alias("at")), h, span))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def span(x: Column, hit: Column) -> Column:
+        s = x["at"] + x["z"]["g"]
+        held = F.length(F.regexp_extract(hit, rule.pattern, rule.group)) >= rule.length
+        return F.when(held, F.struct(s.alias("s"), F.lit(order).alias("k"), (s + x["z"]["h"]).alias("e")))
 
+    return F.filter(let(hits, spans), lambda x: x.isNotNull()).cast(_SPANS)
 
-def find(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """documents with spans: array<struct<s, k, e>> of all matches, by start and then rule; s and e count code points.
 
-    A null text has none. Rows are taken each by itself: ids may repeat or be null, other columns stay as they are.
-    """
+def _find(documents: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
+    """(row, text, spans): each row as a struct, so that no name of its columns can clash, and its spans by start."""
     queries = [trigram_query(r.pattern) for r in rules]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    low = documents.withColumn("_low", F.lower(text))
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rows = documents.select(F.struct(*map(name, documents.columns)).alias("row"), name(text_col).alias("text"))
     grams = sorted({t for q in queries for t in _trigrams(q)})
-    index = low.withColumns({f"_t{i}": F.contains(F.col("_low"), F.lit(t)) for i, t in enumerate(grams)}).drop("_low")
-    bitmap = {t: F.col(f"_t{i}") for i, t in enumerate(grams)}
-    none = F.array().cast(_SPANS)
-    hits = index.withColumns({f"_r{k}": F.when(_candidate(q, bitmap) & F.regexp_like(text, F.lit(r.pattern)), _found(r, k, text)).otherwise(none) for k, (r, q) in enumerate(zip(rules, queries, strict=True))})
-    spans = F.array_sort(F.concat(*(F.col(f"_r{k}") for k in range(len(rules)))))
-    return hits.select(*documents.columns, spans.alias("spans"))
+    if grams:
+        found = cut(candidates(postings(documents.select(name(text_col).alias("text")), grams), queries), "sec-candidates")
+        rows = rows.withColumn("key", F.xxhash64("text")).join(ids_side(found), "key", "left")
+        rows = rows.select("row", "text", F.coalesce("rules", F.lit(0)).alias("rules"))
+    text, none = F.coalesce("text", F.lit("")), F.array().cast(_SPANS)
+
+    def of(k: int) -> Column:
+        hit = F.regexp_like(text, F.lit(rules[k].pattern))
+        held = hit if queries[k] is True else (F.col("rules").bitwiseAND(F.lit(1 << k)) != 0) & hit
+        return F.when(held, _found(rules[k], k, text)).otherwise(none)
+
+    return rows.select("row", "text", F.array_sort(F.concat(*(of(k) for k in range(len(rules))))).alias("spans"))
+
+
+def find(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """documents with spans_col: array<struct<s, k, e>> of all matches, by start and then rule; s and e count code points.
+
+    A null text has none. Rows are taken each by itself: ids may repeat or be null, other columns stay as they are,
+    whatever their names (one that is named spans_col is replaced). An empty table gives an empty one.
+    """
+    found = _find(documents, rules, text_col)
+    return found.select(*(F.col("row").getField(c).alias(c) for c in documents.columns if c != spans_col), F.col("spans").alias(spans_col))
 
 
 def _text(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -180,21 +251,28 @@ def secret_digest(documents: DataFrame, rules: tuple[Rule, ...] = RULES, id_col:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row."""
     base = [k for k, r in enumerate(rules) if r.base]
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = find(docs, rules).select("doc_id", "spans")
+    found = _find(docs, rules, "text").select("row.doc_id", "spans")
     count = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
     of_base = F.filter("spans", lambda x: x["k"].isin(base))
     return found.select("doc_id", *(count(k).alias(f"n_{rules[k].kind}") for k in base), F.sha2(_text(of_base, rules), 256).alias("base_sha256"), _text(F.col("spans"), rules).alias("spans"))
 
 
 def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """documents with each stretch of secrets replaced by mark; overlapping spans are one stretch."""
-    found = find(documents, rules, text_col)
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """documents with each stretch of secrets replaced by mark; overlapping spans are one stretch.
+
+    Other columns stay as they are, whatever their names; rows with the same or no id, null and empty texts too.
+    """
+    text, page = F.col("text"), 1024
+
+    def piece(pages: Column, a: Column, b: Column) -> Column:
+        """Characters a to b - 1; a page is 1024 of them, so that a long text isn't read from its start for each span."""
+        lo = F.floor(a / page).cast("int")
+        return F.when(b <= a, F.lit("")).otherwise(F.array_join(F.slice(pages, lo + 1, F.floor((b - 1) / page).cast("int") - lo + 1), "").substr(a % page + 1, b - a))
 
-    def step(acc: Column, x: Column) -> Column:
-        before = F.concat(acc["out"], text.substr(acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
-        return F.when(x["e"] <= acc["at"], acc).otherwise(F.struct(x["e"].alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(before).alias("out")))
+    def clean(pages: Column) -> Column:
+        ends = _before(F.col("spans.e"), F.lit(0), lambda a, b: F.greatest(a, b))
+        parts = F.zip_with("spans", ends, lambda x, at: F.when(x["s"] >= at, F.concat(piece(pages, at, x["s"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(parts, ""), piece(pages, F.array_max("spans.e"), F.length(text)))
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).select(documents.columns)
+    new = F.when(F.size("spans") > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{page}}}"), F.lit(0)), clean)).otherwise(text)
+    return _find(documents, rules, text_col).select(*((new if c == text_col else F.col("row").getField(c)).alias(c) for c in documents.columns))
