@@ -1,11 +1,16 @@
-"""Repeated passages by a compacted De Bruijn graph over words.
-
-A window is `span` consecutive words. Its k-mer with the smallest hash is its edge in the graph (leftmost of equals), so
-equal windows have equal edges wherever they occur. The windows of a text that follow one another with the same edge are
-one path; a path is known by the hash of all its words. Most edges lie on one path only (they don't branch), and then a
-path that repeats covers all of its windows at once: paths meet in one join. Where an edge branches, that is, several
-different paths run through it, the windows of each path are taken apart at their source coordinates, wherever it occurs
-in its first text, and meet in a second join. So each window is held against the smallest doc_id in which it starts, and few are shuffled.
+"""Repeated passages by compacting a De Bruijn graph over words.
+
+A window of `span` words is an edge of the graph, from the node of its first span - 1 words to that of its last ones. The
+windows of a text that follow one another and share their k-mer of the smallest hash (leftmost of equals) are held as one
+longer edge, known by that k-mer and the hash of all its words; equal windows share that k-mer wherever they occur. Where
+several different such edges have one k-mer, that is, where the graph may branch inside of them, they are taken apart into
+their windows, wherever they occur in their first text. An edge is repeated if a text with a larger id has it, too; its
+source is where it starts in the text with the smallest id.
+
+Repeated edges are compacted: where a node has one repeated edge in and one out that follow each other in one source text,
+both belong to one path, and rounds of joins (each edge takes its predecessor's head) give every edge the head of its
+nonbranching path. Occurrences of a path's edges at one shift are one long span. Spans are verified on the words at their
+source coordinates, by 128-bit digests, before anything is removed.
 """
 
 from __future__ import annotations
@@ -20,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.texthash import Words, chunks, mix, run_hash
-from tessel.runtime import BROADCAST_IDS, cut, drop_table, ids_side, ship_package
+from tessel.runtime import cut, drop_table, ids_side, ship_package
 
 
 @dataclass(frozen=True)
 class SubstringParams:
-    """span: words in a window. k: words in an edge."""
+    """span: words in a window. k: words of the k-mer by which windows are held together."""
 
     span: int = 50
     k: int = 10
@@ -43,12 +48,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - have)], out[width - have :]) if width > have else out
 
 
-def paths(words: Words, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, hash of the edge, hash of the words) of each path of these texts."""
+def edges(words: Words, span: int, k: int) -> tuple[np.ndarray, ...]:
+    """(first window, windows, hash of the k-mer, hash of all words, of the first and of the last node) of each edge."""
     n = len(words.hash)
     if n < span:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return (none, none, *[none.view(np.uint64)] * 4)
     prefix, inverse = words.runs()
     edge = words.windows(k)
     at = (sliding_min((edge & ~_AT) | np.arange(len(edge), dtype=np.uint64), span - k + 1) & _AT).astype(np.int64)
@@ -58,60 +63,99 @@ def paths(words: Words, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (inside[1:] != inside[:-1] + 1)])) if len(at) else np.zeros(0, dtype=np.int64)
     lo = inside[new]
     count = np.diff(np.concatenate([new, [len(at)]]))
-    return lo, count, edge[at[new]], mix(run_hash(prefix, inverse, lo, lo + count + span - 1) + count.astype(np.uint64))
+    node = words.windows(span - 1)
+    return lo, count, edge[at[new]], mix(run_hash(prefix, inverse, lo, lo + count + span - 1) + count.astype(np.uint64)), node[lo], node[lo + count]
 
 
-_PATHS = "id long, n long, s1 long, s2 long, lo array<int>, c array<int>, edge array<long>, path array<long>"
+_EDGES = "id long, n long, digest binary, lo array<int>, c array<int>, kmer array<long>, path array<long>, u array<long>, v array<long>"
 
 
-def _paths(p: SubstringParams):
+def _digest_of(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _edges(p: SubstringParams):
+    """Each text's edges, with the number and a digest of its words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in chunks(batch.column(1).to_pylist()):
                 words = Words(texts)
-                lo, count, edge, path = paths(words, p.span, p.k)
-                prefix, inverse = words.runs()
-                whole = run_hash(prefix, inverse, words.first[:-1], words.first[1:])
-                sums = np.zeros(len(words.hash) + 1, dtype=np.uint64)
-                np.cumsum(mix(words.hash + np.uint64(0x2545F4914F6CDD1D)), out=sums[1:])
+                lo, *rest = edges(words, p.span, p.k)
                 of = np.searchsorted(lo, words.first).astype(np.int32)
                 rel = lo - np.repeat(words.first[:-1], np.diff(of))
-                lists = [pa.ListArray.from_arrays(pa.array(of), pa.array(x)) for x in (rel.astype(np.int32), count.astype(np.int32), edge.view(np.int64), path.view(np.int64))]
+                lists = [pa.ListArray.from_arrays(pa.array(of), pa.array(x)) for x in (rel.astype(np.int32), rest[0].astype(np.int32), *(x.view(np.int64) for x in rest[1:]))]
+                whole = pa.array([_digest_of(t.split()) for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(np.diff(words.first).astype(np.int64)), pa.array(whole.view(np.int64)), pa.array((sums[words.first[1:]] - sums[words.first[:-1]]).view(np.int64)), *lists],
-                    names=["id", "n", "s1", "s2", "lo", "c", "edge", "path"],
+                    [batch.column(0).slice(at, len(texts)), pa.array(np.diff(words.first).astype(np.int64)), whole, *lists],
+                    names=["id", "n", "digest", "lo", "c", "kmer", "path", "u", "v"],
                 )
 
     return run
 
 
 def _windows(span: int):
-    """(id, ats, hashes) of the windows in the ranges of each text."""
+    """(id, lo, u, v) of the windows in the ranges of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ranges = batch.column(2).to_pylist()
             for at, texts in chunks(batch.column(1).to_pylist()):
                 words = Words(texts)
-                hashes = words.windows(span).view(np.int64)
-                starts, values, sizes = [], [], [0]
-                for t, own in enumerate(ranges[at : at + len(texts)]):
+                node = words.windows(span - 1).view(np.int64)
+                starts, sizes = [], [0]
+                for own in ranges[at : at + len(texts)]:
                     parts = [np.arange(r["lo"], r["lo"] + r["c"]) for r in own]
-                    i = np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int64)
-                    starts.append(i)
-                    values.append(hashes[i + words.first[t]])
-                    sizes.append(sizes[-1] + len(i))
-                off = pa.array(sizes, type=pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(off, pa.array(np.concatenate(starts).astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(np.concatenate(values)))], names=["id", "lo", "h"]
-                )
+                    starts.append(np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int64))
+                    sizes.append(sizes[-1] + len(starts[-1]))
+                off, rel = pa.array(sizes, type=pa.int32()), np.concatenate(starts)
+                i = rel + np.repeat(words.first[:-1], np.diff(sizes))
+                lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (rel.astype(np.int32), node[i], node[i + 1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *lists], names=["id", "lo", "u", "v"])
 
     return run
 
 
+def _sources(span: int):
+    """(id, lo, c, digest) of the spans asked for of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1)):
+                words, asked = (text.as_py() or "").encode("utf-8", "surrogatepass").split(), batch.column(2)[i].as_py()
+                lo, c = [r["lo"] for r in asked], [r["c"] for r in asked]
+                got = [_digest_of(words[a : a + n + span - 1]) for a, n in zip(lo, c, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(lo)), pa.array(lo, pa.int32()), pa.array(c, pa.int32()), pa.array(got, pa.binary())], names=["id", "lo", "c", "digest"])
+
+    return run
+
+
+def compact(repeated: DataFrame) -> DataFrame:
+    """(first, lo, c, head) of each repeated edge (first, lo, c, u, v): where its nonbranching path starts.
+
+    (first, lo) is the edge's source, c its windows. Nodes with one edge in and one out join these, if they follow each
+    other there; then each round doubles the stretch by which an edge sees back, so there are log2 of the longest path.
+    """
+    ends = repeated.select(F.col("v").alias("node"), F.lit(1).alias("in"), "first", "lo", "c").union(repeated.select(F.col("u").alias("node"), F.lit(0).alias("in"), "first", "lo", "c"))
+    is_in = F.col("in") == 1
+    side = lambda cond: F.max(F.when(cond, F.struct("first", "lo", "c")))
+    node = ends.groupBy("node").agg(F.sum("in").alias("ins"), F.count("*").alias("all"), side(is_in).alias("e"), side(~is_in).alias("f"))
+    links = node.where("ins = 1 AND all = 2 AND e.first = f.first AND e.lo + e.c = f.lo").select(F.col("f.first").alias("first"), F.col("f.lo").alias("lo"), F.col("e.lo").alias("head"))
+    now = cut(repeated.select("first", "lo", "c").join(links, ["first", "lo"], "left").select("first", "lo", "c", F.coalesce("head", "lo").alias("head"), F.lit(True).alias("moved")), "ss-heads")
+    while not now.where("moved AND head < lo").isEmpty():
+        seen = now.where("head < lo").select("first", F.col("lo").alias("head"), F.col("head").alias("before"))
+        step = now.join(seen, ["first", "head"], "left").select("first", "lo", "c", F.coalesce("before", "head").alias("head"), F.col("before").isNotNull().alias("moved"))
+        after = cut(step, "ss-heads")
+        drop_table(now)
+        now = after
+    return now.select("first", "lo", "c", "head")
+
+
 def kept_words(text: bytes, ranges: list[dict] | None, span: int) -> tuple[list[bytes], int]:
-    """The words that stay, and how many there were."""
+    """The words that stay, and how many there were. Each range is held against its words: if they aren't those of its
+    source, it takes nothing away."""
     words = text.split()
+    ranges = [r for r in ranges or () if _digest_of(words[r["lo"] : r["lo"] + r["c"] + span - 1]) == r["digest"]]
     if not ranges:
         return words, len(words)
     gone = np.zeros(len(words) + 1, dtype=np.int64)
@@ -122,45 +166,61 @@ def kept_words(text: bytes, ranges: list[dict] | None, span: int) -> tuple[list[
 
 
 def repeated_ranges(documents: DataFrame, params: SubstringParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ranges): windows of each text that also start in a text with a smaller id, as (lo, c): first word, windows."""
+    """(id, ranges): windows of each text that also start in a text with a smaller id, as (lo, c, digest): first word,
+    windows, and a digest of the words at the source."""
     p = params or SubstringParams()
     ship_package(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    found = cut(docs.mapInArrow(_paths(p), _PATHS).where(f"n >= {p.span}"), "ss-paths")
-    same = cut(found.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("last > rep"), "ss-same")
-    copies = cut(found.select("id", "s1", "s2", "n").join(same, ["s1", "s2", "n"]).where("id > rep").select("id", "n").distinct(), "ss-copies")
-    one = found.join(ids_side(copies.select("id")), "id", "left_anti")
-    path = one.select("id", F.explode(F.arrays_zip("lo", "c", "edge", "path")).alias("x")).select("id", F.struct("x.lo", "x.c").alias("r"), "x.edge", "x.path")
-    graph = cut(path.groupBy("edge", "path").agg(F.min(F.struct("id", "r")).alias("at"), F.max("id").alias("last"), F.count("*").alias("times")), "ss-graph")
-    seen = graph.where("last > at.id").select("path", F.col("at.id").alias("first"))
-    whole = path.select("id", "r", "path").join(seen, "path").where("id > first").select("id", "r")
-
-    branches = graph.groupBy("edge").agg(F.count("*").alias("ways")).where("ways > 1").select("edge")
-    open_ = cut(graph.join(branches, "edge").select("path", "at.id", "at.r", "times"), "ss-open")
-    often = open_.where("times > 1").select("path", "id").distinct()
-    again = path.join(ids_side(often), ["path", "id"]).select("id", "r")
-    apart = open_.where("times = 1").select("id", "r").union(again).groupBy("id").agg(F.collect_list("r").alias("ranges"))
+    found = cut(docs.mapInArrow(_edges(p), _EDGES).where(f"n >= {p.span}"), "ss-edges")
+    same = cut(found.groupBy("digest", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("last > rep"), "ss-same")
+    copies = cut(found.select("id", "digest", "n").join(same, ["digest", "n"]).where("id > rep").select("id", "n", "digest").distinct(), "ss-copies")
+    one = found.join(ids_side(copies.select("id").distinct()), "id", "left_anti")
+    edge = one.select("id", F.explode(F.arrays_zip("lo", "c", "kmer", "path", "u", "v")).alias("x")).select("id", "x.*")
+    ends = [F.min(x).alias(x) for x in ("u", "v")]  # an edge's words have its nodes, so these are equal in a group
+    graph = cut(edge.groupBy("kmer", "path").agg(F.min(F.struct("id", "lo", "c")).alias("at"), F.max("id").alias("last"), F.count("*").alias("times"), *ends), "ss-graph")
+    branches = graph.groupBy("kmer").agg(F.count("*").alias("ways")).where("ways > 1").select("kmer")
+    open_ = cut(graph.join(branches, "kmer").select("kmer", "path", "at.id", "at.lo", "at.c", "times"), "ss-open")
+    often = open_.where("times > 1").select("kmer", "path", "id").distinct()
+    again = edge.join(ids_side(often), ["kmer", "path", "id"]).select("id", "lo", "c")
+    apart = open_.where("times = 1").select("id", "lo", "c").union(again).groupBy("id").agg(F.collect_list(F.struct("lo", "c")).alias("ranges"))
     apart = cut(apart, "ss-apart")
     text = docs.join(ids_side(apart.select("id")), "id", "left_semi").join(apart, "id").select("id", "text", "ranges")
-    windows = text.mapInArrow(_windows(p.span), "id long, lo array<int>, h array<long>")
-    window = cut(windows.select("id", F.explode(F.arrays_zip("lo", "h")).alias("x")).select("id", "x.lo", "x.h"), "ss-windows")
-    first = window.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("h", "first")
-    single = window.join(first, "h").where("id > first").select("id", F.struct("lo", F.lit(1).alias("c")).alias("r"))
-    all_words = copies.select("id", F.struct(F.lit(0).alias("lo"), (F.col("n") - (p.span - 1)).cast("int").alias("c")).alias("r"))
-    out = cut(whole.union(single).union(all_words).groupBy("id").agg(F.collect_list("r").alias("ranges")), "ss-ranges")
-    for t in (found, copies, graph, open_, apart, window):
+    windows = text.mapInArrow(_windows(p.span), "id long, lo array<int>, u array<long>, v array<long>")
+    window = cut(windows.select("id", F.explode(F.arrays_zip("lo", "u", "v")).alias("x")).select("id", "x.*"), "ss-windows")
+    first = window.groupBy("u", "v").agg(F.min(F.struct("id", "lo")).alias("at"), F.max("id").alias("last")).where("last > at.id")
+    first = cut(first.select("u", "v", F.col("at.id").alias("first"), F.col("at.lo").alias("flo")), "ss-first")
+
+    long = graph.where("last > at.id").join(open_.select("kmer", "path").distinct(), ["kmer", "path"], "left_anti")
+    source = [F.col("first"), F.col("flo").alias("lo")]
+    heads = cut(compact(long.select(F.col("at.id").alias("first"), "at.lo", "at.c", "u", "v").union(first.select(*source, F.lit(1).alias("c"), "u", "v"))), "ss-paths")
+    place = heads.select("first", F.col("lo").alias("flo"), "head")
+    seen = graph.where("last > at.id").select("kmer", "path", F.col("at.id").alias("first"), F.col("at.lo").alias("flo"))
+    seen = cut(seen.join(place, ["first", "flo"], "left").withColumn("head", F.coalesce("head", "flo")), "ss-seen")
+    whole = edge.join(seen, ["kmer", "path"]).where("id > first").select("id", "lo", "c", "first", "flo", "head")
+    single = window.join(first.join(place, ["first", "flo"]), ["u", "v"]).where("id > first").select("id", "lo", F.lit(1).alias("c"), "first", "flo", "head")
+    spans = whole.union(single).withColumn("shift", F.col("lo") - F.col("flo")).groupBy("id", "first", "head", "shift")
+    spans = spans.agg(F.min("lo").alias("lo"), (F.max(F.col("lo") + F.col("c")) - F.min("lo")).cast("int").alias("c"), F.sum("c").alias("have"), F.collect_set(F.struct("lo", "c")).alias("parts"))
+    part = F.when(F.col("have") == F.col("c"), F.array(F.struct("lo", "c"))).otherwise(F.col("parts"))
+    spans = cut(spans.select("id", "first", "shift", F.explode(part).alias("x")).select("id", "x.lo", "x.c", "first", (F.col("x.lo") - F.col("shift")).alias("flo")), "ss-spans")
+
+    asked = cut(spans.groupBy("first").agg(F.collect_set(F.struct(F.col("flo").alias("lo"), "c")).alias("ranges")).withColumnRenamed("first", "id"), "ss-asked")
+    text = docs.join(ids_side(asked.select("id")), "id", "left_semi").join(asked, "id").select("id", "text", "ranges")
+    words = cut(text.mapInArrow(_sources(p.span), "id long, lo int, c int, digest binary").select(F.col("id").alias("first"), F.col("lo").alias("flo"), "c", "digest").distinct(), "ss-words")
+    checked = spans.join(ids_side(words), ["first", "flo", "c"]).select("id", "lo", "c", "digest")
+    all_words = copies.select("id", F.lit(0).alias("lo"), (F.col("n") - (p.span - 1)).cast("int").alias("c"), "digest")
+    out = cut(checked.union(all_words).groupBy("id").agg(F.collect_list(F.struct("lo", "c", "digest")).alias("ranges")), "ss-ranges")
+    for t in (found, same, copies, graph, open_, apart, window, first, heads, seen, spans, asked, words):
         drop_table(t)
     return out
 
 
-def with_ranges(documents: DataFrame, ranges: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """documents with the column ranges (null: none). Only texts that have some are shuffled while their ids are few."""
-    own = ranges.withColumnRenamed("id", id_col)
-    if ranges.count() > BROADCAST_IDS:
-        return documents.join(own, id_col, "left")
-    ids = F.broadcast(own.select(id_col))
-    none = documents.join(ids, id_col, "left_anti").withColumn("ranges", F.lit(None).cast(own.schema["ranges"].dataType))
-    return documents.join(ids, id_col, "left_semi").join(own, id_col).select(none.columns).union(none)
+def _with_ranges(documents: DataFrame, ranges: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(row, id, text, ranges) of the rows that have some, and (row, id, text) of the others; row is the whole row as a
+    struct, so that no name clashes. Only texts that have some are shuffled while their ids are few."""
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rows = documents.select(F.struct(*map(name, documents.columns)).alias("row"), name(id_col).cast("long").alias("id"), name(text_col).alias("text"))
+    ids = ids_side(ranges.select("id"))
+    return rows.join(ids, "id", "left_semi").join(ranges, "id").select("row", "id", "text", "ranges"), rows.join(ids, "id", "left_anti").select("row", "id", "text")
 
 
 def _digest(span: int):
@@ -181,28 +241,28 @@ def substring_digest(documents: DataFrame, params: SubstringParams | None = None
     """(doc_id, n_words, n_removed, kept_sha256) of each row; see drop_repeats() for what is removed."""
     p = params or SubstringParams()
     docs = documents.select("doc_id", "text")
-    return with_ranges(docs, repeated_ranges(docs, p)).select("doc_id", "text", "ranges").mapInArrow(_digest(p.span), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    ranges = repeated_ranges(docs, p)
+    some, none = _with_ranges(docs, ranges, "doc_id", "text")
+    every = some.select("id", "text", "ranges").union(none.select("id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType)))
+    return every.mapInArrow(_digest(p.span), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def drop_repeats(documents: DataFrame, params: SubstringParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents without the words that a window covers which also starts in a text with a smaller id.
 
     A text that loses words is its other words joined by one space; another text stays as it is. Null texts have no
-    words. Rows with the same id are one document, and one without an id loses nothing. Other columns stay; an empty
+    words. Rows with the same id are one document and never repeat one another; where their texts differ, a row loses only
+    what it has at the places found. One without an id loses nothing. Other columns stay, whatever their names; an empty
     table gives an empty one.
     """
     p = params or SubstringParams()
-    keep = [c for c in documents.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, ranges in zip(batch.column(text_col), batch.column("ranges"), strict=True):
-                own = ranges.as_py()
-                out.append(b" ".join(kept_words(text.as_py().encode("utf-8", "surrogatepass"), own, p.span)[0]).decode("utf-8", "surrogatepass") if own else text.as_py())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, text_col])
-
-    found = with_ranges(documents, repeated_ranges(documents, p, id_col, text_col), id_col)
-    same = found.where("ranges IS NULL").select(*keep, text_col)
-    less = found.where("ranges IS NOT NULL").select(*keep, text_col, "ranges").mapInArrow(run, same.schema)
-    return same.union(less).select(documents.columns)
+            out = [b" ".join(kept_words((text.as_py() or "").encode("utf-8", "surrogatepass"), ranges.as_py(), p.span)[0]).decode("utf-8", "surrogatepass") for text, ranges in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "text"])
+
+    some, none = _with_ranges(documents, repeated_ranges(documents, p, id_col, text_col), id_col, text_col)
+    same = none.select("row", "text")
+    less = some.select("row", "text", "ranges").mapInArrow(run, same.schema)
+    return same.union(less).select(*((F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in documents.columns))
