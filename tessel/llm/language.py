@@ -23,16 +23,15 @@ from tessel.runtime import ship_package
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """buckets: of hashed trigrams, a power of 2. sample: texts of each language to learn from, about. languages: most
-    that can be learned, the commonest ones. smooth: added to each count. rounds: of expectation-maximisation.
-    most: languages in a text's set. penalty: times the logarithm of the text's trigrams, for each further language."""
+    """buckets: of hashed trigrams, a power of 2. cells: buckets are halved, down to 4096, while buckets x languages is
+    more than this. sample: texts of each language to learn from, about. smooth: added to each count. rounds: of
+    expectation-maximisation. penalty: times the logarithm of the text's trigrams, for each further language."""
 
     buckets: int = 1 << 16
+    cells: int = 1 << 24
     sample: int = 400
-    languages: int = 200
     smooth: float = 0.3
     rounds: int = 8
-    most: int = 3
     penalty: float = 4.0
 
 
@@ -80,7 +79,7 @@ def infer(texts: list[str], model: np.ndarray, p: LanguageParams) -> tuple[np.nd
     """(index of the main language, its proportion) of each text; -1 and 0 where no letter is. model: buckets x languages,
     each trigram's probabilities divided by their mean over languages, which changes neither proportions nor gains."""
     best, score = np.full(len(texts), -1), np.zeros(len(texts))
-    owner, bucket, count = trigrams(texts, p.buckets)
+    owner, bucket, count = trigrams(texts, len(model))
     if not len(owner):
         return best, score
     at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
@@ -96,8 +95,8 @@ def infer(texts: list[str], model: np.ndarray, p: LanguageParams) -> tuple[np.nd
     fit, rest, final = alone[np.arange(n), first], share.copy(), chosen.copy()
     rest[np.arange(n), first] = 0
     going = np.ones(n, dtype=bool)
-    for _ in range(min(p.most, k) - 1):
-        going &= rest.max(1) > 0.02
+    for _ in range(k - 1):
+        going &= rest.max(1) > 0
         if not going.any():
             break
         part = np.flatnonzero(going)
@@ -116,21 +115,24 @@ def infer(texts: list[str], model: np.ndarray, p: LanguageParams) -> tuple[np.nd
     main = final.argmax(1)
     text = owner[at]
     best[text] = main
-    score[text] = np.clip(share[np.arange(n), main], 0, 1)
+    score[text] = np.clip(final[np.arange(n), main], 0, 1)
     return best, score
 
 
 def learn(documents: DataFrame, p: LanguageParams) -> tuple[list[str], np.ndarray]:
     """(languages, model) from rows (id, text, lang) with a text and a language: about p.sample texts of each."""
     known = documents.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = [(r["lang"], r["count"]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.languages).collect()]
+    counts = [(r["lang"], r["count"]) for r in known.groupBy("lang").count().collect()]
     share = documents.sparkSession.createDataFrame([(lang, min(1.0, p.sample / n)) for lang, n in counts], "lang string, share double")
     draw = F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     names = sorted(lang for lang, _ in counts)
     index = {n: i for i, n in enumerate(names)}
-    table = np.full((p.buckets, max(1, len(names))), p.smooth)
+    buckets = p.buckets
+    while buckets * len(names) > p.cells and buckets > 4096:
+        buckets //= 2
+    table = np.full((buckets, max(1, len(names))), p.smooth)
     for r in known.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text").toLocalIterator():
-        _, bucket, count = trigrams([r["text"]], p.buckets)
+        _, bucket, count = trigrams([r["text"]], buckets)
         table[bucket, index[r["lang"]]] += count
     table /= table.sum(0)
     return names, (table / table.mean(1, keepdims=True)).astype(np.float32)
@@ -152,12 +154,13 @@ def identify(documents: DataFrame, held_out: Column, params: LanguageParams | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, model = shared.value
+        most = max(2000, min(400_000, p.cells // model.shape[1]))  # characters taken at once
         for batch in batches:
             texts = [x or "" for x in batch.column(2).to_pylist()]
             pred, score, at = [], [], 0
             while at < len(texts):
                 to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 400_000):
+                while to < len(texts) and (to == at or size + len(texts[to]) <= most):
                     size += len(texts[to])
                     to += 1
                 got, how = infer(texts[at:to], model, p)
