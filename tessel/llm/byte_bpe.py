@@ -15,7 +15,7 @@ import numpy as np
 #: The pattern by which this kind of vocabulary splits texts; a fixed value of the public tokenizer.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A chunk of more characters isn't kept, and of more chunks than this none is kept beyond.
-CHUNK_CHARS, CHUNKS = 48, 400_000
+CHUNK_CHARS, CHUNKS = 48, 120_000
 _ODD = re.compile(r" \s|\s $")
 
 

@@ -22,7 +22,9 @@ _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Texts are taken together up to so many bytes; a longer text is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Tables of up to so many powers stay in memory (16 bytes each); longer texts have theirs made anew.
+KEPT_POWERS = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,7 +48,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         have = (out[0], out[1])
-        if size <= 1 << 22:
+        if size <= KEPT_POWERS:
             _pow[base] = have
     return have
 
