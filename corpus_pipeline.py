@@ -11,7 +11,7 @@ from tessel.llm.packing import pack
 from tessel.llm.quality import keep_good
 from tessel.llm.secrets import redact
 from tessel.llm.substring import drop_repeats
-from tessel.runtime import cut, ids_side, input_table
+from tessel.runtime import cut, drop_table, ids_side, input_table
 
 
 def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -61,5 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the last stage makes of documents; the table of each stage before it lies in the shared folder."""
     docs = input_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)

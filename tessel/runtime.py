@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+#: Rows in a batch for Python.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
@@ -29,8 +33,14 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it."""
+    """Send this package to the executors once per application, so that Python workers can import it.
+
+    Rows go to Python in batches of BATCH_ROWS, unless the session names another number: texts are long, and both sides
+    hold a batch whole.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
@@ -43,9 +53,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine (tests), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{os.path.realpath(tempfile.gettempdir())}/tessel-shared"
     return named.rstrip("/")
 
