@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tessel.plans import imaging, learning, mining, tabular  # noqa: F401
+    from tessel.plans import imaging, learning, mining, reshaping, tabular  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -131,7 +131,7 @@ def _(spark, d):
 
 @query(
     "loess_size_price",
-    """WITH b AS (SELECT p_partkey AS id, p_retailprice AS x, p_size::DOUBLE AS y, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS r FROM part WHERE p_partkey % 5 = 0),
+    """WITH b AS (SELECT p_partkey AS id, p_retailprice AS x, p_size::DOUBLE AS y, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS r FROM part),
     k AS (SELECT greatest(2, least(count(*), ceil(0.3 * count(*))))::BIGINT AS k FROM b),
     n AS (SELECT * FROM (SELECT a.id, a.x, c.x AS xj, c.y AS yj, abs(a.x - c.x) AS d, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.x - c.x), c.r) AS p FROM b a, b c) WHERE p <= (SELECT k FROM k)),
     m AS (SELECT *, max(d) OVER (PARTITION BY id) AS m, xj - x AS u FROM n),
@@ -140,9 +140,7 @@ def _(spark, d):
     SELECT id, x, round(CASE WHEN abs(s0 * s2 - s1 * s1) > 1e-9 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END, 6) AS fit FROM s""",
 )
 def _(spark, d):
-    """Every fifth part, as the smoother compares each with 0.3 of all: it is made for charts."""
-    p = input_table(spark, d, "part").where("p_partkey % 5 = 0")
-    return stats.loess(p, "p_partkey", "p_retailprice", "p_size").select("id", "x", F.round("fit", 6).alias("fit"))
+    return stats.loess(input_table(spark, d, "part"), "p_partkey", "p_retailprice", "p_size").select("id", "x", F.round("fit", 6).alias("fit"))
 
 
 _STEP = "WITH b AS (SELECT p_brand AS k, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1), r AS (SELECT *, (hi - lo) / 5 AS raw, pow(10.0, floor(log10((hi - lo) / 5))) AS p FROM b), s AS (SELECT k, lo, hi, p * CASE WHEN raw / p >= sqrt(50) THEN 10 WHEN raw / p >= sqrt(10) THEN 5 WHEN raw / p >= sqrt(2) THEN 2 ELSE 1 END AS step FROM r)"
