@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.operators.order import falling, running
+
 
 def confusion(df: DataFrame, t: str, p: str) -> DataFrame:
     """(t, p, n) over all pairs of classes of either."""
@@ -54,36 +56,41 @@ def log_loss(df: DataFrame, t: str, prob: str) -> DataFrame:
     return df.agg((-F.avg(F.when(F.col(t) == 1, F.log(q)).otherwise(F.log(1 - q)))).alias("log_loss"))
 
 
+def _ranked(df: DataFrame, t: str, score: str, key: str) -> DataFrame:
+    """(i, hit, tp, p, n): place by falling score and then key, whether the row is positive, and counts up to it and in all.
+    Rows without a label are left out."""
+    hit = (F.col(t) > 0.5).cast("long")
+    r = running(df.where(F.col(t).isNotNull()).select(F.col(score).alias("s"), F.col(key).alias("k"), hit.alias("hit")), [falling("s"), "k"], {"i": F.lit(1).cast("long"), "tp": F.col("hit")})
+    return r.select("i", "hit", "tp", F.col("tp_all").alias("p"), (F.col("i_all") - F.col("tp_all")).alias("n"))
+
+
+def _part(a, b):
+    return a / F.nullif(b, F.lit(0))
+
+
 def roc(df: DataFrame, t: str, score: str, key: str) -> DataFrame:
     """(i, fpr, tpr) from (0, 0), one point a row by falling score and then key; ties aren't one point."""
-    upto = Window.orderBy(F.desc(score), key).rowsBetween(Window.unboundedPreceding, 0)
-    pos = (F.col(t) > 0.5).cast("long")
-    every = Window.partitionBy()
-    r = df.select(F.row_number().over(Window.orderBy(F.desc(score), key)).cast("long").alias("i"), F.sum(pos).over(upto).alias("tp"), F.sum(1 - pos).over(upto).alias("fp"), F.sum(pos).over(every).alias("p"), F.sum(1 - pos).over(every).alias("n"))
-    points = r.select("i", (F.col("fp") / F.nullif(F.col("n"), F.lit(0))).alias("fpr"), (F.col("tp") / F.nullif(F.col("p"), F.lit(0))).alias("tpr"))
+    r = _ranked(df, t, score, key)
+    points = r.select("i", _part(F.col("i") - F.col("tp"), F.col("n")).alias("fpr"), _part(F.col("tp"), F.col("p")).alias("tpr"))
     return df.sparkSession.range(1).select(F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")).union(points)
 
 
 def auc(df: DataFrame, t: str, score: str, key: str) -> DataFrame:
-    r"""Area under roc() by trapezoids. With distinct (score, key) it is a rank sum, so one sort by range serves it."""
-    w = Window.orderBy("i")
-    d = roc(df, t, score, key).select((F.col("fpr") - F.lag("fpr").over(w)).alias("dx"), (F.col("tpr") + F.lag("tpr").over(w)).alias("sy"))
-    return d.agg(F.sum(F.col("dx") * F.col("sy") / 2).alias("auc"))
+    """Area under roc() by trapezoids: only a negative row moves to the right, by 1 / n at the height of that row."""
+    r = _ranked(df, t, score, key)
+    return r.agg(F.sum(F.when(F.col("hit") == 0, _part(F.col("tp"), F.col("p")) / F.col("n"))).alias("auc"))
 
 
 def precision_recall(df: DataFrame, t: str, score: str, key: str) -> DataFrame:
     """(i, recall, precision) from (0, 1)."""
-    order = Window.orderBy(F.desc(score), key)
-    pos = (F.col(t) > 0.5).cast("long")
-    tp = F.sum(pos).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    r = df.select(F.row_number().over(order).cast("long").alias("i"), (tp / F.sum(pos).over(Window.partitionBy())).alias("recall"), (tp / F.row_number().over(order)).alias("precision"))
+    r = _ranked(df, t, score, key).select("i", _part(F.col("tp"), F.col("p")).alias("recall"), (F.col("tp") / F.col("i")).alias("precision"))
     return df.sparkSession.range(1).select(F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision")).union(r)
 
 
 def average_precision(df: DataFrame, t: str, score: str, key: str) -> DataFrame:
-    w = Window.orderBy("i")
-    d = precision_recall(df, t, score, key).select((F.col("recall") - F.lag("recall").over(w)).alias("dx"), (F.col("precision") + F.lag("precision").over(w)).alias("sy"))
-    return d.agg(F.sum(F.col("dx") * F.col("sy") / 2).alias("average_precision"))
+    """Area under precision_recall() by trapezoids: only a positive row moves to the right, by 1 / p."""
+    here, before = F.col("tp") / F.col("i"), F.when(F.col("i") == 1, 1.0).otherwise((F.col("tp") - 1) / F.nullif(F.col("i") - 1, F.lit(0)))
+    return _ranked(df, t, score, key).agg(F.sum(F.when(F.col("hit") == 1, (here + before) / 2 / F.col("p"))).alias("average_precision"))
 
 
 def regression(df: DataFrame, t: str, p: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.operators.neighbors import assign
+from tessel.operators.neighbors import with_cluster
 from tessel.operators.stats import unpivot
 
 
@@ -102,8 +102,8 @@ def logistic(df: DataFrame, features: list[str], target: str, c: float = 1.0, ro
 
 def lloyd(df: DataFrame, key: str, vec: str, centroids: DataFrame) -> DataFrame:
     """(cluster, center, n) after one step."""
-    a = df.join(assign(df, key, vec, centroids), key)
-    long = a.select("cluster", F.posexplode(vec).alias("i", "v")).groupBy("cluster", "i").agg(F.avg(F.col("v").cast("double")).alias("m"), F.count("*").alias("n"))
+    a = with_cluster(df.select(F.col(vec).alias("_v")), "_v", centroids).where("_near IS NOT NULL")
+    long = a.select(F.col("_near.cluster").alias("cluster"), F.posexplode("_v").alias("i", "v")).groupBy("cluster", "i").agg(F.avg(F.col("v").cast("double")).alias("m"), F.count("*").alias("n"))
     return long.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("center"), F.max("n").alias("n"))
 
 

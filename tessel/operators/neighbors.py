@@ -65,8 +65,23 @@ def dbscan_core(queries: DataFrame, train: DataFrame, key: str, vec: str, eps: f
     return within(queries, train, key, vec, eps).groupBy("q").agg(F.count("*").alias("n")).withColumn("core", F.col("n") >= min_samples)
 
 
+def nearest_center(vec: Column, centers: Column) -> Column:
+    """(d2, cluster): the nearest of an array of (cluster, center); of equals the lower cluster."""
+    return F.array_min(F.transform(centers, lambda c: F.struct(vector.squared_l2(vec, c["center"]).alias("d2"), c["cluster"].alias("cluster"))))
+
+
+def with_cluster(df: DataFrame, vec: str, centroids: DataFrame, name: str = "_near") -> DataFrame:
+    """df with name, the nearest of centroids (cluster, center) as (d2, cluster). All centroids travel as one row and each
+    row looks for its own, so no row is shuffled; they are a model of k vectors, not a table."""
+    held = F.broadcast(centroids.agg(F.collect_list(F.struct("cluster", "center")).alias("_centers")))
+    return df.crossJoin(held).withColumn(name, nearest_center(F.col(vec), F.col("_centers"))).drop("_centers")
+
+
 def assign(df: DataFrame, key: str, vec: str, centroids: DataFrame) -> DataFrame:
     """(key, cluster, d2): nearest of centroids (cluster, center); of equals the lower cluster."""
-    d2: Column = vector.squared_l2(F.col(vec), F.col("center"))
-    near = df.crossJoin(F.broadcast(centroids)).select(key, "cluster", d2.alias("d2"))
-    return near.groupBy(key).agg(F.min(F.struct("d2", "cluster")).alias("m")).select(key, F.col("m.cluster").alias("cluster"), F.col("m.d2").alias("d2"))
+    return with_cluster(df.select(key, vec), vec, centroids).select(key, F.col("_near.cluster").alias("cluster"), F.col("_near.d2").alias("d2"))
+
+
+def center_distances(df: DataFrame, key: str, vec: str, centroids: DataFrame) -> DataFrame:
+    """(key, cluster, d): the distance of each row to each centroid (cluster, center)."""
+    return df.select(key, vec).crossJoin(F.broadcast(centroids.select("cluster", "center"))).select(key, "cluster", F.sqrt(vector.squared_l2(F.col(vec), F.col("center"))).alias("d"))

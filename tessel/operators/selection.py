@@ -10,9 +10,10 @@ import itertools
 import random
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.operators.order import numbered
 from tessel.runtime import cut
 
 Predict = Callable[[DataFrame], DataFrame]
@@ -68,19 +69,6 @@ def stacking(df: DataFrame, fits: list[Fit], final: Callable[[list[str]], Fit],
     return predict
 
 
-def numbered(df: DataFrame, order: list[Column | str], name: str = "row") -> DataFrame:
-    """df with the place of each row in order, from 0, without a window over all rows: rows are dealt by range and
-    written, partitions are counted, and places run from the count of those before."""
-    by = [F.col(o) if isinstance(o, str) else o for o in order]
-    keys = [f"_o{i}" for i in range(len(by))]
-    d = cut(df.withColumns(dict(zip(keys, by, strict=True))).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "numbered")
-    counts = sorted((r["_part"], r["count"]) for r in d.groupBy("_part").count().collect())
-    starts = list(zip((p for p, _ in counts), itertools.accumulate((n for _, n in counts), initial=0), strict=False))
-    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start long")
-    rn = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return d.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + rn - 1).drop("_part", "_start", *keys)
-
-
 def permutation_importance(df: DataFrame, key: str, predict: Predict, features: list[str], score: Column, repeats: int = 5, seed: int = 1) -> DataFrame:
     """(feature, mean, std) of the loss of score as a column's values are dealt anew among the rows."""
     rows = numbered(df, [key])

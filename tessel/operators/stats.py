@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.operators.order import numbered
+
 
 def unpivot(df: DataFrame, columns: list[str], name: str = "feature", value: str = "value", keep: list[str] | None = None) -> DataFrame:
     """One row for each column of each row."""
@@ -146,7 +148,7 @@ def loess(df: DataFrame, key: str, x: str, y: str, bandwidth: float = 0.3) -> Da
     blocks of k places finds them without comparing all rows."""
     n = df.count()
     k = max(2, min(n, -int(-max(0.05, min(1.0, bandwidth)) * n // 1)))
-    ranked = df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.row_number().over(Window.orderBy(x, key)) - 1).alias("r"))
+    ranked = numbered(df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), ["x", "id"], "r")
     block = F.floor(F.col("r") / k)
     left = ranked.select("id", "x", "r", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
     right = ranked.select(F.col("id").alias("jd"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("r").alias("rj"), block.alias("block"))

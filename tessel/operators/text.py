@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.operators.order import numbered
+from tessel.runtime import cut
+
 
 def tokenize(text: Column) -> Column:
     """Split at white space, other than letters and digits trimmed off both ends, lower case, empty ones dropped."""
@@ -35,12 +38,13 @@ def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 1, max_df: float =
     v = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total")).where((F.col("df") >= min_df) & (F.col("df") <= math.ceil(max_df * n_docs)))
     if max_features:
         v = v.orderBy(F.desc("total"), "term").limit(max_features)
-    return v.select("term", "df", (F.row_number().over(Window.orderBy("term")) - 1).cast("long").alias("idx"))
+    return numbered(v.select("term", "df"), ["term"], "idx")
 
 
 def tfidf(counts: DataFrame, key: str, n_docs: int, smooth: bool = True, sublinear: bool = False, norm: str | None = "l2") -> DataFrame:
     """(key, term, weight): tf * (ln((n + s) / (df + s)) + 1), by the row's norm."""
     s = 1 if smooth else 0
+    counts = cut(counts, "term-counts")
     df_ = counts.groupBy("term").agg(F.count("*").alias("df"))
     tf = F.col("n").cast("double") if not sublinear else 1 + F.log(F.col("n"))
     w = counts.join(df_, "term").select(key, "term", (tf * (F.log(F.lit(float(n_docs + s)) / (F.col("df") + s)) + 1)).alias("weight"))

@@ -127,8 +127,8 @@ def _(spark, d):
 
 @query("hist_gbt_multiclass")
 def _(spark, d):
-    e = _vectors(spark, d).select("vec_id", "label", *(F.col("embedding")[i].alias(f"x{i}") for i in range(8)))
-    m = boost.hist_boost(e, [f"x{i}" for i in range(8)], "label", "softmax", rounds=1, depth=3)
+    e = _vectors(spark, d).select("vec_id", "label", *(F.col("embedding")[i].alias(f"x{i}") for i in range(64)))
+    m = boost.hist_boost(e, [f"x{i}" for i in range(64)], "label", "softmax", rounds=1, depth=3)
     return m.predict(e).select("vec_id", "label", "prediction")
 
 
@@ -171,8 +171,8 @@ def _(spark, d):
 def _(spark, d):
     from pyspark.ml.classification import LinearSVC, OneVsRest
 
-    e = _vectors(spark, d).select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)))
-    fit = selection.spark_ml(OneVsRest(classifier=LinearSVC(maxIter=5), labelCol="label"), [f"x{i}" for i in range(8)])
+    e = _vectors(spark, d).select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
+    fit = selection.spark_ml(OneVsRest(classifier=LinearSVC(), labelCol="label"), [f"x{i}" for i in range(64)])
     return fit(e)(e).select("vec_id", "label", "prediction")
 
 

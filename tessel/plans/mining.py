@@ -122,6 +122,12 @@ def _(spark, d):
     return rounded(neighbors.assign(e, "vec_id", "embedding", _fixed(e)), 7)
 
 
+@query("kmeans_transform", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT x.vec_id, c.vec_id::INTEGER AS cluster, round(list_distance(x.e, c.e), 7) AS d FROM e x, e c WHERE c.vec_id < 10")
+def _(spark, d):
+    e = input_table(spark, d, "embeddings")
+    return rounded(neighbors.center_distances(e, "vec_id", "embedding", _fixed(e)), 7)
+
+
 @query("kmeans_one_lloyd", f"{_ASSIGN}, l AS (SELECT cluster, unnest(range(0, len(e))) AS i, unnest(e) AS v FROM a) SELECT cluster::INTEGER AS cluster, i::INTEGER AS i, round(avg(v), 7) AS m FROM l GROUP BY 1, 2")
 def _(spark, d):
     e = input_table(spark, d, "embeddings")

@@ -109,7 +109,7 @@ def _(spark, d):
 
 @query("row_gather", "WITH p AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, o_custkey AS c_custkey FROM orders) SELECT pos, c_custkey, c_name FROM p JOIN customer USING (c_custkey)")
 def _(spark, d):
-    from tessel.operators.selection import numbered
+    from tessel.operators.order import numbered
 
     o = numbered(input_table(spark, d, "orders").select("o_orderdate", "o_orderkey", F.col("o_custkey").alias("c_custkey")), ["o_orderdate", "o_orderkey"], "pos")
     return sparse.gather(input_table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", o.select("pos", "c_custkey"))

@@ -301,6 +301,14 @@ def _(spark, d):
     return split.k_fold(input_table(spark, d, "events"), ["event_id"], 7).select("event_id", "fold")
 
 
+@query("repeated_kfold", "SELECT repeat, fold, CASE WHEN fold = 6 THEN n - 6 * (n // 7) ELSE n // 7 END AS n, 0::BIGINT AS twice FROM (SELECT count(*) AS n FROM events), (SELECT unnest([0, 1, 2])::BIGINT AS repeat), (SELECT unnest([0, 1, 2, 3, 4, 5, 6])::BIGINT AS fold)")
+def _(spark, d):
+    """Sizes of the folds, and how many of a fold's rows are in it more than once."""
+    f = split.repeated_k_fold(input_table(spark, d, "events").select("event_id"), "event_id", 7, 3)
+    once = f.groupBy("repeat", "fold", "event_id").agg(F.count("*").alias("c"))
+    return once.groupBy("repeat", "fold").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 1).cast("long")).alias("twice"))
+
+
 @query("stratified_kfold", "SELECT doc_id, (row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 5 AS fold FROM labels")
 def _(spark, d):
     return split.stratified_k_fold(input_table(spark, d, "labels"), ["doc_id"], 5, "quality").select("doc_id", "fold")
