@@ -172,7 +172,7 @@ def _(spark, d):
     from pyspark.ml.classification import LinearSVC, OneVsRest
 
     e = _vectors(spark, d).select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
-    fit = selection.spark_ml(OneVsRest(classifier=LinearSVC(), labelCol="label"), [f"x{i}" for i in range(64)])
+    fit = selection.spark_ml(OneVsRest(classifier=LinearSVC(), labelCol="label", parallelism=4), [f"x{i}" for i in range(64)])
     return fit(e)(e).select("vec_id", "label", "prediction")
 
 
