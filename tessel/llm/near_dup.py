@@ -160,7 +160,9 @@ def _members(reps: DataFrame, p: NearDupParams) -> DataFrame:
         half = half.select("id", "n", "b", "i", "ka", F.coalesce(F.pmod(F.xxhash64("id"), "salts") + 1, F.lit(0)).alias("salt"))
     else:
         half = half.withColumn("salt", F.lit(0).cast("long"))
-    full = half.repartition("ka", "salt").select("id", "n", "i", "ka", "salt", F.posexplode("b").alias("j", "kb"))
+    # a constant salt among the keys would hide from the planner that rows are in place already, and all tables be shuffled
+    by = ["ka", "salt"] if is_hot else ["ka"]
+    full = half.repartition(*by).select("id", "n", "i", "ka", "salt", F.posexplode("b").alias("j", "kb"))
 
     def shared(df: DataFrame, *keys: str) -> DataFrame:
         w = _same_key(*keys)
@@ -168,7 +170,7 @@ def _members(reps: DataFrame, p: NearDupParams) -> DataFrame:
 
     out = [F.xxhash64("ka", "j", "kb").alias("bucket"), (F.col("i") * p.b + F.col("j")).alias("place"), "id", "n", "center"]
     two: Column = F.col("before").isNotNull() | F.col("after").isNotNull()
-    first = shared(full, "ka", "salt", "j", "kb")
+    first = shared(full, *by, "j", "kb")
     if not is_hot:
         return first.where(two).select(out)
     first = cut(first.where(two | (F.col("salt") > 0)).select("i", "ka", "salt", "j", "kb", "id", "n", "center", two.alias("two")), "nd-first")
