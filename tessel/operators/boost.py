@@ -1,8 +1,8 @@
 """Gradient boosting over histograms, and isolation forests.
 
 A tree is four arrays over heap places (children of n are 2n and 2n + 1): the feature and the bin of a split (-1: leaf),
-and the value. Each level of a tree is one aggregate of gradients by node, feature and bin, combined before the shuffle;
-split search runs over the aggregate in Spark, and the driver gets one row a node. Nodes are then taken best first up to
+and the value. Each level of all trees of a round is one pass: tasks add up gradients by tree, node, feature and bin in
+numpy, these histograms meet by feature, where the best split is sought, and the driver gets one row a node. Nodes are then taken best first up to
 the number of leaves, which gives the same tree as growing leaf by leaf, since a node's gain depends on its rows alone.
 """
 
@@ -12,11 +12,17 @@ import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tessel.functions import vector
-from tessel.runtime import cut, drop_table
+from tessel.runtime import cut, drop_table, ship_package
+
+
+#: Bytes of histograms that a task holds at once; what is beyond takes another pass over the rows.
+HISTOGRAMS = 64 << 20
 
 
 @dataclass
@@ -26,15 +32,34 @@ class Tree:
     value: list[float]
     depth: int
 
-    def predict(self, bins: Column) -> Column:
+    def places(self, bins: np.ndarray) -> np.ndarray:
+        """The node where each row's walk down ends."""
+        f, b, every, node = np.array(self.feature), np.array(self.bin), np.arange(len(bins)), np.ones(len(bins), dtype=int)
+        for _ in range(self.depth):
+            at = f[node]
+            node = np.where(at < 0, node, 2 * node + (bins[every, np.maximum(at, 0)] > b[node]))
+        return node
+
+    def predict(self, bins: np.ndarray) -> np.ndarray:
         """The value of the leaf that a row's bins lead to."""
-        f, b = F.lit(self.feature), F.lit(self.bin)
-        at = lambda a, n: F.get(a, n)
+        return np.array(self.value)[self.places(bins)]
+
 
-        def down(node: Column, _: Column) -> Column:
-            return F.when(at(f, node) < 0, node).otherwise(2 * node + F.when(F.get(bins, at(f, node)) <= at(b, node), 0).otherwise(1))
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of numbers out of lists of one length; nulls are NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
-        return F.get(F.lit(self.value), F.aggregate(F.sequence(F.lit(1), F.lit(self.depth)), F.lit(1), down))
+
+def _rows(y: pa.Array, bins: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), k), x.shape[1]).cast(pa.list_(k)) for x, k in ((bins, pa.int32()), (s, pa.float64()))]
+    return pa.RecordBatch.from_arrays([y, *lists], ["_y", "_bins", "_s"])
+
+
+def _add(s: np.ndarray, bins: np.ndarray, rounds: list[list[Tree]], rate: float) -> np.ndarray:
+    """Scores after more rounds."""
+    for trees in rounds:
+        s = s + rate * np.stack([t.predict(bins) for t in trees], axis=1)
+    return s
 
 
 @dataclass
@@ -46,20 +71,25 @@ class Boosted:
     loss: str
     rounds: list[list[Tree]] = field(default_factory=list)
 
-    def bins(self) -> Column:
+    def bins(self, x: np.ndarray) -> np.ndarray:
         """Bin 0 is missing; a value on an edge goes right."""
-        def one(name: str, edges: list[float]) -> Column:
-            x = F.col(name).cast("double")
-            e = F.lit(edges) if edges else F.array().cast("array<double>")
-            return F.when(x.isNull() | F.isnan(x), 0).otherwise(F.size(F.filter(e, lambda v: v <= x)) + 1)
+        return np.stack([np.where(np.isnan(v), 0, np.searchsorted(np.array(e, dtype=float), v, side="right") + 1) for v, e in zip(x.T, self.edges, strict=True)], axis=1)
 
-        return F.array(*(one(f, e) for f, e in zip(self.features, self.edges, strict=True)))
+    def numbers(self) -> Column:
+        return F.array(*(F.col(f).cast("double") for f in self.features))
 
     def raw(self, df: DataFrame, name: str = "_raw") -> DataFrame:
         """df with its scores, one for each class (or one)."""
-        d = df.withColumn("_bins", self.bins())
-        score = [F.lit(s) + sum((self.rate * r[k].predict(F.col("_bins")) for r in self.rounds), F.lit(0.0)) for k, s in enumerate(self.start)]
-        return d.withColumn(name, F.array(*score)).drop("_bins")
+        ship_package(df.sparkSession)
+        names, width = [*df.columns, name], len(self.features)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                s = _add(np.tile(self.start, (b.num_rows, 1)), self.bins(_matrix(b.column(b.num_columns - 1).cast(pa.list_(pa.float64())), width)), self.rounds, self.rate)
+                scores = pa.FixedSizeListArray.from_arrays(pa.array(s.ravel()), len(self.start)).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], names)
+
+        return df.withColumn("_x", self.numbers()).mapInArrow(run, StructType([*df.schema.fields, StructField(name, ArrayType(DoubleType()))]))
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         """The value, the probability of class 1, or the most probable class (the lowest of equals)."""
@@ -73,51 +103,119 @@ class Boosted:
         return d.withColumn(name, e).drop("_raw")
 
 
-def _splits(d: DataFrame, node: Column, g: Column, h: Column, min_leaf: int, ridge: float) -> list:
-    """One row a node: its best split by gain; of equals the first feature and the lowest bin."""
-    long = d.select(node.alias("node"), g.alias("g"), h.alias("h"), F.posexplode("_bins").alias("f", "bin")).where("node IS NOT NULL")
-    hist = long.groupBy("node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
-    upto = Window.partitionBy("node", "f").orderBy("bin")
-    every = Window.partitionBy("node", "f")
-    c = hist.select("node", "f", "bin", *(F.sum(x).over(upto).alias(f"l{x}") for x in "ghn"), *(F.sum(x).over(every).alias(f"t{x}") for x in "ghn"))
-    part = lambda a, b: a * a / (b + ridge + 1e-12)
-    gain = part(F.col("lg"), F.col("lh")) + part(F.col("tg") - F.col("lg"), F.col("th") - F.col("lh")) - part(F.col("tg"), F.col("th"))
-    ok = (F.col("ln") >= min_leaf) & (F.col("tn") - F.col("ln") >= min_leaf)
-    c = c.withColumn("gain", F.when(ok, gain).otherwise(-1.0))
-    best = F.min_by(F.struct("f", "bin", "gain", "lg", "lh", "tg", "th"), F.struct(-F.col("gain"), F.col("f"), F.col("bin")))
-    return c.groupBy("node").agg(best.alias("s")).select("node", "s.*").collect()
-
-
-def grow(d: DataFrame, g: Column, h: Column, depth: int, leaves: int, min_leaf: int, ridge: float) -> Tree:
-    """A tree over the column _bins."""
-    size = 2 ** (depth + 1)
-    tree, found, sums = Tree([-1] * size, [-1] * size, [0.0] * size, depth), {}, {}
-    level = [1]
+def _gradients(loss: str, s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(g, h) of each row and tree; a row without a target has no gradient."""
+    if loss == "squared":
+        g, h = s - y[:, None], np.ones_like(s)
+    else:
+        if loss == "log":
+            p, hit = 1 / (1 + np.exp(-s)), y[:, None]
+        else:
+            e = np.exp(s - s.max(1, keepdims=True))
+            p, hit = e / e.sum(1, keepdims=True), (y[:, None] == np.arange(s.shape[1])).astype(float)
+        g, h = p - hit, np.maximum(p * (1 - p), 1e-12)
+    return np.where(np.isnan(y)[:, None], 0.0, g), h
+
+
+def _histograms(model: Boosted, pending: list[list[Tree]], trees: list[Tree], nodes: list[tuple[int, int]], most: int):
+    """(k, node, f, hist) of a task's rows at each of some nodes (tree, place): sums of g, h and rows by bin."""
+    width, slots = len(model.features), {}
+    for k, n in nodes:
+        slots.setdefault(k, {})[n] = len(slots.get(k, {}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {k: np.zeros((3, len(at) * width * most)) for k, at in slots.items()}
+        for b in batches:
+            bins = _matrix(b.column("_bins"), width)
+            y = b.column("_y").to_numpy(zero_copy_only=False).astype(float)
+            g, h = _gradients(model.loss, _add(_matrix(b.column("_s"), len(model.start)), bins, pending, model.rate), y)
+            for k, at in slots.items():
+                slot = np.full(len(trees[k].feature), -1)
+                slot[list(at)] = list(at.values())
+                slot = slot[trees[k].places(bins)]
+                rows = np.flatnonzero(slot >= 0)
+                place = ((slot[rows, None] * width + np.arange(width)) * most + bins[rows]).ravel()
+                for i, w in enumerate((g[rows, k], h[rows, k], None)):
+                    held[k][i] += np.bincount(place, None if w is None else np.repeat(w, width), held[k].shape[1])
+        for k, at in slots.items():
+            x = held[k].reshape(3, len(at), width, most)
+            for n, s in at.items():
+                f = np.flatnonzero(x[2, s].any(axis=1))
+                if len(f):
+                    data = [np.ascontiguousarray(x[:, s, i]).tobytes() for i in f.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v] * len(f), pa.int32()) for v in (k, n)] + [pa.array(f, pa.int32()), pa.array(data, pa.binary())], ["k", "node", "f", "hist"])
+
+    return run
+
+
+def _best(most: int, min_leaf: int, ridge: float):
+    """The best split of each (k, node, f) whose histograms are all in this task; of equals the lowest bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for k, n, f, x in zip(*(b.column(c).to_pylist() for c in ("k", "node", "f", "hist")), strict=True):
+                x = np.frombuffer(x).reshape(3, most)
+                held[k, n, f] = held[k, n, f] + x if (k, n, f) in held else x
+        if not held:
+            return
+        left = np.cumsum(np.stack(list(held.values())), axis=2)
+        total = left[:, :, -1:]
+        part = lambda x: x[:, 0] * x[:, 0] / (x[:, 1] + ridge + 1e-12)
+        ok = (left[:, 2] >= min_leaf) & (total[:, 2] - left[:, 2] >= min_leaf)
+        gain = np.where(ok, part(left) + part(total - left) - part(total), -1.0)
+        at, every = gain.argmax(1), np.arange(len(gain))
+        keys = np.array(list(held), dtype=np.int32)
+        out = [*keys.T, at.astype(np.int32), gain[every, at], left[every, 0, at], left[every, 1, at], total[:, 0, 0], total[:, 1, 0]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["k", "node", "f", "bin", "gain", "lg", "lh", "tg", "th"])
+
+    return run
+
+
+def _splits(d: DataFrame, model: Boosted, pending: list[list[Tree]], trees: list[Tree], level: list[tuple[int, int]], min_leaf: int, ridge: float) -> list:
+    """One row a node of a level of all trees: its best split by gain; of equals the first feature and the lowest bin."""
+    most = max((len(e) for e in model.edges), default=0) + 2
+    step, out = max(1, HISTOGRAMS // (24 * most * max(1, len(model.features)))), []
+    for i in range(0, len(level), step):
+        hist = d.mapInArrow(_histograms(model, pending, trees, level[i : i + step], most), "k int, node int, f int, hist binary")
+        c = hist.repartition("k", "node", "f").mapInArrow(_best(most, min_leaf, ridge), "k int, node int, f int, bin int, gain double, lg double, lh double, tg double, th double")
+        best = F.min_by(F.struct("f", "bin", "gain", "lg", "lh", "tg", "th"), F.struct(-F.col("gain"), F.col("f"), F.col("bin")))
+        out += c.groupBy("k", "node").agg(best.alias("s")).select("k", "node", "s.*").collect()
+    return out
+
+
+def grow(d: DataFrame, model: Boosted, pending: list[list[Tree]], depth: int, leaves: int, min_leaf: int, ridge: float) -> list[Tree]:
+    """The trees of a round, one for each score, over the columns _y, _bins and _s: a level of all of them at a time."""
+    size, count = 2 ** (depth + 1), len(model.start)
+    trees = [Tree([-1] * size, [-1] * size, [0.0] * size, depth) for _ in range(count)]
+    found, sums = [{} for _ in trees], [{} for _ in trees]
+    level = [(k, 1) for k in range(count)]
     for _ in range(depth):
-        part = Tree(tree.feature, tree.bin, [float(n) if n in level else -1.0 for n in range(size)], depth)
-        node = F.nullif(part.predict(F.col("_bins")).cast("int"), F.lit(-1))
-        rows, level = _splits(d, node, g, h, min_leaf, ridge), []
+        rows, level = _splits(d, model, pending, trees, level, min_leaf, ridge), []
         for r in rows:
-            n = r["node"]
-            sums[n] = (r["tg"], r["th"])
+            k, n = r["k"], r["node"]
+            sums[k][n] = (r["tg"], r["th"])
             if r["gain"] > 1e-12:
-                found[n] = r
-                tree.feature[n], tree.bin[n] = r["f"], r["bin"]
-                sums[2 * n], sums[2 * n + 1] = (r["lg"], r["lh"]), (r["tg"] - r["lg"], r["th"] - r["lh"])
-                level += [2 * n, 2 * n + 1]
+                found[k][n] = r
+                trees[k].feature[n], trees[k].bin[n] = r["f"], r["bin"]
+                sums[k][2 * n], sums[k][2 * n + 1] = (r["lg"], r["lh"]), (r["tg"] - r["lg"], r["th"] - r["lh"])
+                level += [(k, 2 * n), (k, 2 * n + 1)]
         if not level:
             break
-    out = Tree([-1] * size, [-1] * size, [0.0] * size, depth)
-    heap, made = [(-found[1]["gain"], 1)] if 1 in found else [], 1
-    while heap and made < leaves:
-        _, n = heapq.heappop(heap)
-        out.feature[n], out.bin[n] = tree.feature[n], tree.bin[n]
-        made += 1
-        for c in (2 * n, 2 * n + 1):
-            if c in found:
-                heapq.heappush(heap, (-found[c]["gain"], c))
-    for n, (a, b) in sums.items():
-        out.value[n] = float(-a / (b + ridge + 1e-12))
+    out = []
+    for k, tree in enumerate(trees):
+        t = Tree([-1] * size, [-1] * size, [0.0] * size, depth)
+        heap, made = [(-found[k][1]["gain"], 1)] if 1 in found[k] else [], 1
+        while heap and made < leaves:
+            _, n = heapq.heappop(heap)
+            t.feature[n], t.bin[n] = tree.feature[n], tree.bin[n]
+            made += 1
+            for c in (2 * n, 2 * n + 1):
+                if c in found[k]:
+                    heapq.heappush(heap, (-found[k][c]["gain"], c))
+        for n, (a, b) in sums[k].items():
+            t.value[n] = float(-a / (b + ridge + 1e-12))
+        out.append(t)
     return out
 
 
@@ -142,25 +240,31 @@ def hist_boost(df: DataFrame, features: list[str], target: str, loss: str = "squ
         start = [0.0] * (int(r["k"]) + 1)
     model = Boosted(list(features), edges, start, rate, loss)
     least = max(1, min(min_leaf, r["n"] // 4))
-    d = cut(df.select(y.alias("_y"), model.bins().alias("_bins"), F.lit(start).cast("array<double>").alias("_s")), "boost")
-    written = d
+    ship_package(df.sparkSession)
+    width, kind = len(features), "_y double, _bins array<int>, _s array<double>"
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = model.bins(_matrix(b.column("_x").cast(pa.list_(pa.float64())), width)).astype(np.int32)
+            yield _rows(b.column("_y"), at, np.tile(start, (b.num_rows, 1)))
+
+    d = cut(df.select(y.alias("_y"), model.numbers().alias("_x")).mapInArrow(binned, kind), "boost")
+    pending: list[list[Tree]] = []
     for i in range(rounds):
-        trees = []
-        for k in range(len(start)):
-            s = F.col("_s")
-            if loss == "squared":
-                g, h = s[0] - F.col("_y"), F.lit(1.0)
-            else:
-                p = 1 / (1 + F.exp(-s[0])) if loss == "log" else vector.softmax(s)[k]
-                hit = F.col("_y") if loss == "log" else (F.col("_y") == k).cast("double")
-                g, h = p - hit, F.greatest(p * (1 - p), F.lit(1e-12))
-            trees.append(grow(d, g, h, depth, leaves, least, ridge))
+        trees = grow(d, model, pending, depth, leaves, least, ridge)
         model.rounds.append(trees)
-        d = d.withColumn("_s", F.array(*(F.col("_s")[k] + rate * t.predict(F.col("_bins")) for k, t in enumerate(trees))))
-        if i % 5 == 4:
-            d, old = cut(d, "boost"), written
+        pending.append(trees)
+        if i % 5 == 4 and i + 1 < rounds:
+
+            def scored(batches: Iterator[pa.RecordBatch], more: list = pending) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    at = _matrix(b.column("_bins"), width)
+                    yield _rows(b.column("_y"), at, _add(_matrix(b.column("_s"), len(start)), at, more, rate))
+
+            d, old = cut(d.mapInArrow(scored, kind), "boost"), d
             drop_table(old)
-            written = d
+            pending = []
+    drop_table(d)
     return model
 
 
