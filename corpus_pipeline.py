@@ -11,7 +11,7 @@ from tessel.llm.packing import pack
 from tessel.llm.quality import keep_good
 from tessel.llm.secrets import redact
 from tessel.llm.substring import drop_repeats
-from tessel.runtime import cut, drop_table, ids_side, input_table
+from tessel.runtime import cut, drop_table, ids_side, input_table, one_map
 
 
 def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -21,27 +21,32 @@ def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    one_map(spark)
     return keep_good(docs).select(docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near duplicates (five words, 0.8)."""
+    one_map(spark)
     gone = cut(near_duplicates(docs, NearDupParams()).where("NOT kept").select("doc_id"), "pipeline-gone")
     return docs.join(ids_side(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words that an earlier document has; one that loses all its words stays, empty."""
+    one_map(spark)
     return _like(drop_repeats(docs), docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with secrets replaced by a mark."""
+    one_map(spark)
     return _like(redact(docs), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences."""
+    one_map(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

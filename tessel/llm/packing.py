@@ -286,7 +286,10 @@ def pack(documents: DataFrame, tokenizer: str, params: PackParams | None = None,
             rank[n] += k * times
             at += n * k
         base += times
-    plan = spark.createDataFrame(rows, "length long, low long, high long, k long, base long, at long")
+    names = ["length", "low", "high", "k", "base", "at"]
+    table = np.array(rows, dtype=np.int64).reshape(-1, len(names))
+    # from a list, rows would go through Python workers of a second pool, which stay in the executors' memory
+    plan = spark.createDataFrame(pa.table(dict(zip(names, table.T, strict=True))))
     part = part.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = part.groupBy("length", "salt").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
     part = part.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
