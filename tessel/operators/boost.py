@@ -1,15 +1,20 @@
 """Gradient boosting over histograms, and isolation forests.
 
 A tree is four arrays over heap places (children of n are 2n and 2n + 1): the feature and the bin of a split (-1: leaf),
-and the value. Each level of all trees of a round is one pass: tasks add up gradients by tree, node, feature and bin in
-numpy, these histograms meet by feature, where the best split is sought, and the driver gets one row a node. Nodes are then taken best first up to
-the number of leaves, which gives the same tree as growing leaf by leaf, since a node's gain depends on its rows alone.
+and the value. Histograms are larger than the rows of a small table, so up to HELD bytes all rows go to each of a few
+barrier tasks: a task grows the trees of its scores, and tasks tell one another their trees after each round. Of a larger
+table each level of all trees of a round is one pass: tasks add up gradients by tree, node, feature and bin in numpy,
+these histograms meet by feature, where the best split is sought, and the driver gets one row a node. Nodes are then taken
+best first up to the number of leaves, which gives the same tree as growing leaf by leaf, since a node's gain depends on
+its rows alone.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import json
+import secrets
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,6 +28,8 @@ from tessel.runtime import cut, drop_table, ship_package
 
 #: Bytes of histograms that a task holds at once; what is beyond takes another pass over the rows.
 HISTOGRAMS = 64 << 20
+#: Bytes of a table's bins and scores up to which every task of a fit holds all rows.
+HELD = 256 << 20
 
 
 @dataclass
@@ -148,6 +155,27 @@ def _histograms(model: Boosted, pending: list[list[Tree]], trees: list[Tree], no
     return run
 
 
+def _room(count: int, most: int) -> tuple[np.ndarray, ...]:
+    """Arrays that _cuts works in, for many calls: allocating them costs more than the sums."""
+    return np.empty((count, 3, most)), *(np.empty((count, most)) for _ in range(3))
+
+
+def _cuts(hist: np.ndarray, min_leaf: int, ridge: float, room: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Running sums over bins, and the best split's bin and gain, of each histogram; of equals the lowest bin."""
+    left, gain, other, h = room or _room(len(hist), hist.shape[2])
+    np.cumsum(hist, axis=2, out=left)
+    total, least = left[:, :, -1:].copy(), ridge + 1e-12
+    np.divide(np.multiply(left[:, 0], left[:, 0], out=gain), np.add(left[:, 1], least, out=h), out=gain)
+    np.add(np.subtract(total[:, 1], left[:, 1], out=h), least, out=h)
+    np.subtract(total[:, 0], left[:, 0], out=other)
+    gain += np.divide(np.multiply(other, other, out=other), h, out=other)
+    gain -= total[:, 0] * total[:, 0] / (total[:, 1] + least)
+    np.minimum(np.subtract(total[:, 2], left[:, 2], out=h), left[:, 2], out=h)
+    np.putmask(gain, h < min_leaf, -1.0)
+    at = gain.argmax(1)
+    return left, at, gain[np.arange(len(gain)), at]
+
+
 def _best(most: int, min_leaf: int, ridge: float):
     """The best split of each (k, node, f) whose histograms are all in this task; of equals the lowest bin."""
 
@@ -159,14 +187,9 @@ def _best(most: int, min_leaf: int, ridge: float):
                 held[k, n, f] = held[k, n, f] + x if (k, n, f) in held else x
         if not held:
             return
-        left = np.cumsum(np.stack(list(held.values())), axis=2)
-        total = left[:, :, -1:]
-        part = lambda x: x[:, 0] * x[:, 0] / (x[:, 1] + ridge + 1e-12)
-        ok = (left[:, 2] >= min_leaf) & (total[:, 2] - left[:, 2] >= min_leaf)
-        gain = np.where(ok, part(left) + part(total - left) - part(total), -1.0)
-        at, every = gain.argmax(1), np.arange(len(gain))
-        keys = np.array(list(held), dtype=np.int32)
-        out = [*keys.T, at.astype(np.int32), gain[every, at], left[every, 0, at], left[every, 1, at], total[:, 0, 0], total[:, 1, 0]]
+        left, at, gain = _cuts(np.stack(list(held.values())), min_leaf, ridge)
+        keys, every = np.array(list(held), dtype=np.int32), np.arange(len(gain))
+        out = [*keys.T, at.astype(np.int32), gain, left[every, 0, at], left[every, 1, at], left[:, 0, -1], left[:, 1, -1]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["k", "node", "f", "bin", "gain", "lg", "lh", "tg", "th"])
 
     return run
@@ -188,7 +211,7 @@ def grow(d: DataFrame, model: Boosted, pending: list[list[Tree]], depth: int, le
     """The trees of a round, one for each score, over the columns _y, _bins and _s: a level of all of them at a time."""
     size, count = 2 ** (depth + 1), len(model.start)
     trees = [Tree([-1] * size, [-1] * size, [0.0] * size, depth) for _ in range(count)]
-    found, sums = [{} for _ in trees], [{} for _ in trees]
+    found, sums, least = [{} for _ in trees], [{} for _ in trees], [{} for _ in trees]
     level = [(k, 1) for k in range(count)]
     for _ in range(depth):
         rows, level = _splits(d, model, pending, trees, level, min_leaf, ridge), []
@@ -199,7 +222,10 @@ def grow(d: DataFrame, model: Boosted, pending: list[list[Tree]], depth: int, le
                 found[k][n] = r
                 trees[k].feature[n], trees[k].bin[n] = r["f"], r["bin"]
                 sums[k][2 * n], sums[k][2 * n + 1] = (r["lg"], r["lh"]), (r["tg"] - r["lg"], r["th"] - r["lh"])
-                level += [(k, 2 * n), (k, 2 * n + 1)]
+                least[k][n] = min(r["gain"], least[k].get(n // 2, r["gain"]))
+        # nodes are taken by the least gain on their way from the root: below those beyond the leaves none is taken
+        last = [sorted(x.values(), reverse=True)[: max(leaves - 1, 0)][-1:] or [np.inf] for x in least]
+        level = [(r["k"], c) for r in rows if least[r["k"]].get(r["node"], -1.0) >= last[r["k"]][0] for c in (2 * r["node"], 2 * r["node"] + 1)]
         if not level:
             break
     out = []
@@ -219,9 +245,139 @@ def grow(d: DataFrame, model: Boosted, pending: list[list[Tree]], depth: int, le
     return out
 
 
-def hist_boost(df: DataFrame, features: list[str], target: str, loss: str = "squared", rounds: int = 20, rate: float = 0.1, depth: int = 8, leaves: int = 31, min_leaf: int = 20, ridge: float = 0.0, bins: int = 255) -> Boosted:
+def _grown(bins: np.ndarray, g: np.ndarray, h: np.ndarray, most: int, depth: int, leaves: int, min_leaf: int, ridge: float) -> Tree:
+    """A tree over rows in memory, leaf by leaf; of two children the one with more rows has its parent's histograms less
+    the other's."""
+    size, width = 2 ** (depth + 1), bins.shape[1]
+    t, offsets = Tree([-1] * size, [-1] * size, [0.0] * size, depth), np.arange(width) * most
+    heap: list[tuple] = []
+    value = lambda x: float(-x[0] / (x[1] + ridge + 1e-12))
+
+    room, step = _room(width, most), 2048
+    place, weights = np.empty((step, width), dtype=np.intp), np.empty((step, width))
+
+    def histograms(rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((3, width * most))
+        for i in range(0, len(rows), step):
+            r = rows[i : i + step]
+            p, w = np.add(bins[r], offsets, out=place[: len(r)]).ravel(), weights[: len(r)]
+            for j, v in enumerate((g, h)):
+                w[:] = v[r, None]
+                x[j] += np.bincount(p, w.ravel(), width * most)
+            x[2] += np.bincount(p, None, width * most)
+        return x.reshape(3, width, most)
+
+    def candidate(n: int, rows: np.ndarray, x: np.ndarray) -> None:
+        left, at, gain = _cuts(x.transpose(1, 0, 2), min_leaf, ridge, room)
+        f = int(gain.argmax())
+        total, part = left[f, :, -1].copy(), left[f, :, at[f]].copy()
+        t.value[n] = value(total)
+        if 2 * n < size and gain[f] > 1e-12:
+            heapq.heappush(heap, (-gain[f], n, rows, x, f, int(at[f]), part, total))
+
+    every, made = np.arange(len(bins)), 1
+    candidate(1, every, histograms(every))
+    while heap and made < leaves:
+        _, n, rows, x, f, b, left, total = heapq.heappop(heap)
+        made += 1
+        t.feature[n], t.bin[n], t.value[2 * n], t.value[2 * n + 1] = f, b, value(left), value(total - left)
+        right = bins[rows, f] > b
+        parts = rows[~right], rows[right]
+        few = int(len(parts[1]) < len(parts[0]))
+        if made == leaves or 4 * n >= size or len(parts[1 - few]) < 2 * min_leaf:
+            continue  # no child is split any more
+        less = histograms(parts[few])
+        x -= less
+        x *= x[2] > 0
+        for c, part, y in ((few, parts[few], less), (1 - few, parts[1 - few], x)):
+            if len(part) >= 2 * min_leaf:
+                candidate(2 * n + c, part, y)
+    return t
+
+
+def _slots(d: DataFrame) -> int:
+    """Tasks that can run at once; a barrier stage needs all of its own, and can't be where executors come and go."""
+    sc = d.sparkSession.sparkContext._jsc.sc()
+    if sc.getConf().getBoolean("spark.dynamicAllocation.enabled", False):
+        return 1
+    return sc.maxNumConcurrentTasks(sc.resourceProfileManager().defaultResourceProfile())
+
+
+def _told(task: int, tasks: int, key: bytes) -> Callable[[str], list[str]]:
+    """What each task of a barrier stage says, told to all of them by way of task 0, whose address Spark gives out once:
+    its own gathering takes a second a time."""
+    from multiprocessing.connection import Client, Listener
+
+    from pyspark import BarrierTaskContext
+
+    context, at = BarrierTaskContext.get(), ""
+    if task == 0:
+        listener = Listener(("", 0), backlog=tasks, authkey=key)
+        at = f"{context.getTaskInfos()[context.partitionId()].address.rpartition(':')[0]}:{listener.address[1]}"
+    host, _, port = max(context.allGather(at)).rpartition(":")
+    if task:
+        peers = [Client((host, int(port)), authkey=key)]
+    else:
+        peers = [listener.accept() for _ in range(tasks - 1)]
+        listener.close()
+
+    def tell(said: str) -> list[str]:
+        if task:
+            peers[0].send_bytes(said.encode())
+            return json.loads(peers[0].recv_bytes())
+        told = [said, *(p.recv_bytes().decode() for p in peers)]
+        for p in peers:
+            p.send_bytes(json.dumps(told).encode())
+        return told
+
+    return tell
+
+
+def _held(d: DataFrame, model: Boosted, rounds: int, depth: int, leaves: int, min_leaf: int, ridge: float) -> list[list[Tree]]:
+    """All rounds over the columns _y and _bins by tasks that hold all rows, each with the trees of some of the scores."""
+    width, count, most = len(model.features), len(model.start), max((len(e) for e in model.edges), default=0) + 2
+    kind, tasks = "u1" if most <= 256 else "<i4", max(1, min(count, _slots(d)))
+    key = secrets.token_bytes(32)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = b.column("_y").to_numpy(zero_copy_only=False).astype("<f8"), _matrix(b.column("_bins"), width).astype(kind)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in data], ["y", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = 0, []
+        for b in batches:
+            task = b.column("task")[0].as_py()
+            held += [(np.frombuffer(y.as_py(), "<f8"), np.frombuffer(x.as_py(), kind).reshape(-1, width)) for y, x in zip(b.column("y"), b.column("x"), strict=True)]
+        y, bins = (np.concatenate(v) for v in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((*bins.T, y))  # sums don't hang on how rows came
+        y, bins = y[order], np.ascontiguousarray(bins[order])
+        s, mine = np.tile(model.start, (len(y), 1)), list(range(task, count, tasks))
+        g, h = (np.empty((len(mine), len(y))) for _ in range(2))
+        tell = _told(task, tasks, key) if tasks > 1 else lambda said: [said]
+        parts, out = [slice(i, i + 16_384) for i in range(0, len(y), 16_384)], []
+        for _ in range(rounds):
+            for p in parts:
+                both = _gradients(model.loss, s[p], y[p])
+                g[:, p], h[:, p] = (v[:, mine].T for v in both)
+            told = json.dumps([(k, t.feature, t.bin, t.value) for k, t in ((k, _grown(bins, g[i], h[i], most, depth, leaves, min_leaf, ridge)) for i, k in enumerate(mine))])
+            trees = [Tree(*x[1:], depth) for x in sorted(x for one in tell(told) for x in json.loads(one))]
+            for p in parts:
+                s[p] = _add(s[p], bins[p], [trees], model.rate)
+            out.append(json.dumps([(t.feature, t.bin, t.value) for t in trees]))
+        if task == 0:
+            yield pa.RecordBatch.from_arrays([pa.array(range(rounds), pa.int32()), pa.array(out, pa.string())], ["round", "trees"])
+
+    all_rows = d.select("_y", "_bins").mapInArrow(packed, "y binary, x binary")
+    dealt = d.sparkSession.range(0, tasks, 1, tasks).select(F.col("id").cast("int").alias("task")).crossJoin(F.broadcast(all_rows))
+    got = dealt.mapInArrow(run, "round int, trees string", barrier=tasks > 1).collect()
+    return [[Tree(*x, depth) for x in json.loads(r["trees"])] for r in sorted(got)]
+
+
+def hist_boost(df: DataFrame, features: list[str], target: str, loss: str = "squared", rounds: int = 100, rate: float = 0.1, depth: int = 8, leaves: int = 31, min_leaf: int = 20, ridge: float = 0.0, bins: int = 255) -> Boosted:
     """loss is squared, log (target 0 or 1) or softmax (target 0 to k - 1). Edges are quantiles of a mergeable sketch;
-    min_leaf is at most a quarter of the rows. Scores are written every five rounds, so that plans stay short."""
+    min_leaf is at most a quarter of the rows. By passes, scores are written every five rounds, so that plans stay short."""
     x = [F.col(f).cast("double") for f in features]
     y = F.col(target).cast("double")
     cuts = [i / bins for i in range(1, bins)]
@@ -248,7 +404,11 @@ def hist_boost(df: DataFrame, features: list[str], target: str, loss: str = "squ
             at = model.bins(_matrix(b.column("_x").cast(pa.list_(pa.float64())), width)).astype(np.int32)
             yield _rows(b.column("_y"), at, np.tile(start, (b.num_rows, 1)))
 
-    d = cut(df.select(y.alias("_y"), model.numbers().alias("_x")).mapInArrow(binned, kind), "boost")
+    d = df.select(y.alias("_y"), model.numbers().alias("_x")).mapInArrow(binned, kind)
+    if rounds and r["n"] * (2 * width + 24 * len(start)) <= HELD:
+        model.rounds = _held(d, model, rounds, depth, leaves, least, ridge)
+        return model
+    d = cut(d, "boost")
     pending: list[list[Tree]] = []
     for i in range(rounds):
         trees = grow(d, model, pending, depth, leaves, least, ridge)

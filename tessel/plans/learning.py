@@ -128,7 +128,7 @@ def _(spark, d):
 @query("hist_gbt_multiclass")
 def _(spark, d):
     e = _vectors(spark, d).select("vec_id", "label", *(F.col("embedding")[i].alias(f"x{i}") for i in range(64)))
-    m = boost.hist_boost(e, [f"x{i}" for i in range(64)], "label", "softmax", rounds=1, depth=3)
+    m = boost.hist_boost(e, [f"x{i}" for i in range(64)], "label", "softmax")
     return m.predict(e).select("vec_id", "label", "prediction")
 
 
